@@ -17,6 +17,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_verdicts(source_files(spark, sf_dir, ".proto", ".thrift", ".xsl"), table(spark, sf_dir, "repos"), table(spark, sf_dir, "licenses"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from symloom.llm.docpairs import documented_functions
+
+    return documented_functions(source_files(spark, sf_dir, ".thrift", ".el"), with_code=False)
+
+
+def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from symloom.llm.docpairs import documented_functions
+
+    return documented_functions(source_files(spark, sf_dir, ".thrift", ".el"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(f)}
 
