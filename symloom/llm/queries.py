@@ -29,6 +29,16 @@ def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documented_functions(source_files(spark, sf_dir, ".thrift", ".el"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_shares(spark, sf_dir).select("file_id", "lang")
+
+
+def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from symloom.llm.naturaltext import language_shares
+
+    return language_shares(source_files(spark, sf_dir, ".thrift", ".el"), table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(f)}
 
