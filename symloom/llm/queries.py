@@ -39,6 +39,16 @@ def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_shares(source_files(spark, sf_dir, ".thrift", ".el"), table(spark, sf_dir, "documents"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_reasons(spark, sf_dir).select("file_id")
+
+
+def p5_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from symloom.llm.handwritten import not_handwritten
+
+    return not_handwritten(source_files(spark, sf_dir, ".c", ".h"), table(spark, sf_dir, "upstream_files"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(f)}
 
