@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from symloom.llm.common import source_files, table
 
@@ -29,6 +30,23 @@ def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documented_functions(source_files(spark, sf_dir, ".thrift", ".el"))
 
 
+def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = F.element_at(F.split("path", "/"), -1).isin("input0.pm", "input1.pm")
+    return source_files(spark, sf_dir, ".pm").where(named).selectExpr("file_id as id", "contents as text")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from symloom.llm.sharedspans import shared_pairs
+
+    return shared_pairs(_modules(spark, sf_dir))
+
+
+def p3_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from symloom.llm.sharedspans import shared_spans
+
+    return shared_spans(_modules(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_shares(spark, sf_dir).select("file_id", "lang")
 
