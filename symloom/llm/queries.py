@@ -67,6 +67,12 @@ def p5_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return not_handwritten(source_files(spark, sf_dir, ".c", ".h"), table(spark, sf_dir, "upstream_files"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from symloom.llm.stuffing import spam_pages
+
+    return spam_pages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(f)}
 
