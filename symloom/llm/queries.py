@@ -67,6 +67,30 @@ def p5_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return not_handwritten(source_files(spark, sf_dir, ".c", ".h"), table(spark, sf_dir, "upstream_files"))
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from symloom.llm.packing import packed
+
+    return packed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_specs"))
+
+
+def p6_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from symloom.llm.packing import unused
+
+    return unused(p6_containers(spark, sf_dir), table(spark, sf_dir, "pack_specs"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from symloom.llm.mixing import Mix
+
+    return Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).chosen()
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from symloom.llm.mixing import Mix
+
+    return Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).shares()
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from symloom.llm.stuffing import spam_pages
 
