@@ -442,8 +442,10 @@ def line_entries(lines: DataFrame, rules: list[Rule], line: str = "line", line_n
         made.append(F.when(hit & ~blocked & (name != ""), F.struct(name.alias("name"), F.lit(r.kind).alias("kind"), F.lit(i).alias("rule"))))
         if r.exclusive:
             blocked = blocked | hit
-    found = lines.withColumn("e", F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())))
-    return found.select(*lines.columns, "e.name", "e.kind", "e.rule")
+    # Columns of the input with these names give way to the made ones.
+    kept = [F.col(f"`{c}`") for c in lines.columns if c not in ("name", "kind", "rule")]
+    found = lines.select(*kept, F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("_made"))
+    return found.select(*kept, "_made.name", "_made.kind", "_made.rule")
 
 
 def multi_names(files: DataFrame, rule: Rule, text: str = "contents") -> DataFrame:

@@ -230,8 +230,8 @@ nested("Haxe", "m:method c:class e:enum v:variable i:interface t:typedef", "hx",
 nested("Flex", "f:function c:class i:interface P:package m:method p:property v:variable l:localvar- C:constant I:import x:mxtag", "as mxml", [R(r"^\s*package\s+([\w.]+)", "P", block="{"), R(r"^\s*(?:\w+\s+)*class\s+(\w+)", "c", block="{"), R(r"^\s*(?:\w+\s+)*interface\s+(\w+)", "i", block="{"), R(r"^\s*(?:\w+\s+)*function\s+(\w+)\s*(\([^{;]*?\))", "f", block="{", signature=r"\2"), R(r"^\s*(?:\w+\s+)*const\s+(\w+)", "C"), R(r"^\s*(?:\w+\s+)*var\s+(\w+)", "v"), R(r"^\s*import\s+([\w.*]+)", "I", role="imported")], "Pci")
 nested(
     "Protobuf", "p:package m:message f:field e:enumerator g:enum s:service r:rpc o:oneof G:group D:protodef", "proto",
-    [R(r"^[ \t]*package\s+([\w.]+)\s*;", "p"), R(r"^[ \t]*message\s+(\w+)", "m", block="{"), R(r"^[ \t]*enum\s+(\w+)", "g", block="{"), R(r"^[ \t]*service\s+(\w+)", "s", block="{"), R(r"^[ \t]*oneof\s+(\w+)", "o", block="{"), R(r"^[ \t]*rpc\s+(\w+)\s*\(", "r"), R(r"^[ \t]*(?:(?:optional|required|repeated)\s+)?group\s+(\w+)", "G", block="{"),
-     R(r"^[ \t]*(?:(?:optional|required|repeated)\s+)?((?!(?:option|return|package|reserved|extensions|syntax|import)\b)[\w.]+|map\s*<[^>]*>)\s+(\w+)\s*=\s*\d+", "f", r"\2", mgroup=2, typeref=r"\1"), R(r"^[ \t]+((?!option\b)\w+)\s*=\s*-?(?:0x)?\d+\s*(?:\[[^\]]*\])?\s*;", "e")],
+    [R(r"^[ \t]*package\s+([\w.]+)\s*;", "p"), R(r"^[ \t]*message\s+(\w+)", "m", block="{"), R(r"^[ \t]*enum\s+(\w+)", "g", block="{"), R(r"^[ \t]*service\s+(\w+)", "s", block="{"), R(r"^[ \t]*oneof\s+(\w+)", "o", block="{"), R(r"(?:^|(?<=[{;]))[ \t]*rpc\s+(\w+)\s*\(", "r"), R(r"^[ \t]*(?:(?:optional|required|repeated)\s+)?group\s+(\w+)", "G", block="{"),
+     R(r"(?:^|(?<=[{;]))[ \t]*(?:(?:optional|required|repeated)\s+)?((?!(?:option|return|package|reserved|extensions|syntax|import)\b)[\w.]+|map\s*<[^>]*>)\s+(\w+)\s*=\s*\d+", "f", r"\2", mgroup=2, typeref=r"\1"), R(r"(?:^|(?<=[{;]))[ \t]+((?!option\b)\w+)\s*=\s*-?(?:0x)?\d+\s*(?:\[[^\]]*\])?\s*;", "e")],
     "mgsoG",
 )
 nested(

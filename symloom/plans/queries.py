@@ -16,6 +16,7 @@ from symloom.operators.languages import REGISTRY
 from symloom.operators.rank import latest, ranked
 from symloom.operators.spec import Rule
 from symloom.sources import files as sources
+from symloom.sources.parallel import spread
 from symloom.sources.tags import name_matches, parse_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -274,11 +275,14 @@ def regex_multiline_extract(s, d):
 
 
 def extracted(s: SparkSession, d: str, *ext: str) -> DataFrame:
+    """Entries of every readable row; rows of repeated reads are made one afterwards, so no text is shuffled."""
     by = {".proto": "Protobuf", ".thrift": "Thrift", ".xsl": "XSLT", ".el": "EmacsLisp", ".pm": "Perl", ".c": "C", ".h": "C"}
     lang = F.lit(None).cast("string")
     for e, n in by.items():
-        lang = F.when(F.col("path").endswith(e), F.lit(n)).otherwise(lang)
-    return extract_entries(good(s, d, *ext).withColumn("lang", lang), REGISTRY)
+        if not ext or e in ext:
+            lang = F.when(F.col("path").endswith(e), F.lit(n)).otherwise(lang)
+    f = t(s, d, "files").where("contents IS NOT NULL").select("file_id", "path", "contents", lang.alias("lang")).where("lang IS NOT NULL")
+    return extract_entries(spread(f), REGISTRY).dropDuplicates(["file_id", "entry_id"])
 
 
 @query()
