@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from symloom.sources.parallel import spread
+
 #: Rows in one Arrow batch. Texts may be long, so a batch is kept small; it bounds a worker's memory.
 BATCH_ROWS = 1000
 
@@ -19,12 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., Iterator[tuple]]]) -> DataFrame:
-    """``make()`` runs once in each task and returns ``f(*values of a row) -> rows``; rows go over Arrow.
+def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., Iterator[tuple]]], scan: bool = False) -> DataFrame:
+    """``scan``: ``df`` is a plain scan, which gets enough tasks if it is small. ``make()`` runs once in each task and returns ``f(*values of a row) -> rows``; rows go over Arrow.
 
     Errors of single rows are not swallowed: ``f`` has to define a result for null and odd values.
     """
     spark = df.sparkSession
+    if scan:
+        df = spread(df)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     struct = StructType.fromDDL(schema)

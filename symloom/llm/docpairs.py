@@ -10,6 +10,7 @@ be read; null contents give nothing; a file read twice gives its functions once.
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -90,12 +91,16 @@ class Pairs:
     """Both grammars, compiled once a task."""
 
     def __init__(self) -> None:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
         self.grammar = {"thrift": Grammar(THRIFT), "el": Grammar(ELISP)}
 
     def of(self, text: str, kind: str) -> Iterator[tuple[int, str, int, int, str]]:
         """name's line, name, start and end of the function, documentation."""
         starts = [0, *(m.end() for m in re.finditer("\n", text))]
-        yield from getattr(self, kind)(text, lambda p: bisect_right(starts, p))
+        try:
+            yield from getattr(self, kind)(text, lambda p: bisect_right(starts, p))
+        except RecursionError:  # lists nested thousands deep are no program; the file gives nothing
+            return
 
     def thrift(self, text: str, line) -> Iterator[tuple[int, str, int, int, str]]:
         above: tuple | None = None
@@ -158,4 +163,4 @@ def documented_functions(files: DataFrame, with_code: bool = True) -> DataFrame:
         return f
 
     schema = "file_id long, line_no long, func_name string" + ", doc string, code string" * with_code
-    return common.map_rows(files.select("file_id", "path", "contents"), schema, make).dropDuplicates(["file_id", "line_no", "func_name"])
+    return common.map_rows(files.select("file_id", "path", "contents"), schema, make, scan=True).dropDuplicates(["file_id", "line_no", "func_name"])

@@ -131,6 +131,6 @@ def not_handwritten(files: DataFrame, upstream: DataFrame) -> DataFrame:
 
         return f
 
-    ruled = common.map_rows(files.select("file_id", "path", "contents"), "file_id long, reason string", make)
+    ruled = common.map_rows(files.select("file_id", "path", "contents"), "file_id long, reason string", make, scan=True)
     copies = contained(files.select("file_id", "contents"), upstream).select("file_id", F.lit("copied").alias("reason"))
     return copies.unionByName(ruled).groupBy("file_id").agg(F.min("reason").alias("reason"))

@@ -286,7 +286,7 @@ def license_verdicts(files: DataFrame, repos: DataFrame, licenses: DataFrame) ->
 
         return f
 
-    found = common.map_rows(files.select("file_id", "repo_id", "path", "contents"), "file_id long, repo_id int, core string", extract)
+    found = common.map_rows(files.select("file_id", "repo_id", "path", "contents"), "file_id long, repo_id int, core string", extract, scan=True)
     found = materialize(found.withColumn("core_id", F.unhex(F.md5("core"))), "license-cores")
 
     def identify():

@@ -44,6 +44,8 @@ class Classifier:
 
     def __init__(self, rows: list[tuple[str, str]]) -> None:
         self.labels = sorted({s for s, _ in rows})
+        if not rows:  # nothing is known: no row without a source is placed
+            return
         n = Counter(s for s, _ in rows)
         size = np.array([n[s] for s in self.labels], float)
         at = {s: i for i, s in enumerate(self.labels)}
@@ -63,7 +65,7 @@ class Classifier:
         self.index = {x: i for i, x in enumerate(best)}
         p = (np.array([held[x] for x in best]).reshape(-1, len(self.labels)) + 0.5) / (size + 1.0)
         # Rows without a source come from any: no prior but the sources' own sizes in the sample.
-        self.absent = np.log(1 - p).sum(0) + np.log(share) if rows else np.zeros(0)
+        self.absent = np.log(1 - p).sum(0) + np.log(share)
         self.present = np.log(p) - np.log(1 - p)
 
     def posterior(self, text: str) -> np.ndarray:
@@ -120,7 +122,7 @@ class Mix:
             return f
 
         rows = documents.where("doc_id is not null and text is not null").select("doc_id", _source().alias("source"), "text")
-        self.docs = materialize(common.map_rows(rows, "doc_id long, mix_source string, tokens long, grid array<int>", make), "mix-docs")
+        self.docs = materialize(common.map_rows(rows, "doc_id long, mix_source string, tokens long, grid array<int>", make, scan=True), "mix-docs")
         # Equal posteriors move together: the groups are a small table, and stay a distributed one.
         groups = materialize(self.docs.groupBy("grid").agg(F.sum("tokens").alias("tokens")), "mix-groups")
         part = lambda i: F.col("grid")[i] / F.lit(float(GRID))

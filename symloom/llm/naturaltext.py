@@ -41,7 +41,7 @@ _STOP = re.compile(r"[.!?](?=\s|$)|[。！？]")
 # Lines that are tags or holders, not text.
 _TAGS = re.compile(r"^.*(?:spdx-license-identifier|copyright\b|©|\(c\)\s*\d|-\*-).*$|^\s*(?:licen[cs]e|terms)\s*:.*$|^.*https?://\S+\s*>?\s*$", re.I | re.M)
 _CODE_LINE = re.compile(
-    r"^\s*(?:oneway\s+)?[\w.]+(?:\s*<.*>)?\s+\w+\s*\(.*\).*[,;]?\s*$|^\s*\d+\s*:\s*\w+|[{};]\s*$|^\s*[('`]+\s*[\w-]+(?:\s|\))|^\s*\"(?:[^\"\\]|\\.)*\"\s*\)*\s*$|\)\)+\s*$|^\s*(?:namespace|include|const|struct|typedef|enum)\s+\w"
+    r"^\s*(?:oneway\s+)?[\w.]+(?:\s*<.*>)?\s+\w+\s*\(.*\).*[,;]?\s*$|^\s*\d+\s*:\s*\w+|[{};]\s*$|^\s*[('`]+\s*[\w-]+(?:\s|\))|^\s*\"(?:[^\"\\]|\\.)*\"\s*\)*\s*$|\)\)\s*$|^\s*(?:namespace|include|const|struct|typedef|enum)\s+\w"
 )
 _IDENT = re.compile(r"\w*[_/\\]\w*|[a-z]+[A-Z]\w*|<[^>\s]*>|`[^`]*`|%\w|@\w+|\w+(?:-\w+){2,}|\S+\(\)")
 
@@ -117,7 +117,7 @@ class Profiles:
 
     def languages(self, sentence: str) -> tuple[str, ...]:
         """The nearest language first, then those almost as near; empty if all are too far or the script does not fit."""
-        near = [(lang, d) for lang, d in self.nearest(sentence) if d <= self.limit]
+        near = [(lang, d) for lang, d in self.nearest(sentence) if lang and d <= self.limit]
         if not near:
             return ()
         if _KANA.search(sentence):
@@ -227,5 +227,5 @@ def language_shares(files: DataFrame, documents: DataFrame) -> DataFrame:
 
         return f
 
-    found = common.map_rows(files.select("file_id", "path", "contents"), "file_id long, lang string, sentences int, share double", make)
+    found = common.map_rows(files.select("file_id", "path", "contents"), "file_id long, lang string, sentences int, share double", make, scan=True)
     return found.dropDuplicates(["file_id", "lang"])

@@ -169,7 +169,7 @@ class Sharing:
 
             return f
 
-        marks = common.map_rows(one.select("cls", "text"), "cls binary, h long", make).distinct()
+        marks = common.map_rows(one.select("cls", "text"), "cls binary, h long", make, scan=True).distinct()
         # Posting lists of one class are dropped before any join; the counts combine on the map side.
         marks = materialize(marks, "span-marks")
         shared = marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")

@@ -55,8 +55,8 @@ SELLING = frozenset(
 _WORD = re.compile(r"[^\W\d_]+")
 _DENSE = re.compile(r"[぀-ヿ㐀-鿿]")
 _TLD = r"(?:example|test|invalid|com|net|org|info|io|biz|co|ru|de|fr|cn|jp)"
-_LINK = re.compile(rf"<a\s[^>]*>[^<]*</a>|\[[^\]\n]*\]\(\S+?\)|(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.{_TLD}\b(?:/\S*)?|\b[\w-]+ ?(?:\[dot\]|\(dot\)| dot ) ?{_TLD}\b", re.I)
-_TAG = re.compile(r"#[^\W_]\w*|\b[A-Z][A-Z ]*\bSKU-\d+|\bSKU-\d+|(?:[a-z]+ ){0,3}[$€£]\d+(?:\.\d\d)?|\b(?:(?:no|near|for|full) )?[a-z]+\d*(?:-[a-z]+)+\b")
+_LINK = re.compile(rf"<a\s[^>]*>[^<]*</a>|\[[^\]\n]*\]\(\S+?\)|(?:https?://|www\.)\S+|\b[\w-]{{1,63}}(?:\.[\w-]{{1,63}}){{0,8}}\.{_TLD}\b(?:/\S*)?|\b[\w-]{{1,63}} ?(?:\[dot\]|\(dot\)| dot ) ?{_TLD}\b", re.I)
+_TAG = re.compile(r"#[^\W_]\w*|\b[A-Z][A-Z ]*\bSKU-\d+|\bSKU-\d+|(?:[a-z]+ ){0,3}[$€£]\d+(?:\.\d\d)?|\b(?:(?:no|near|for|full) )?[a-z]{1,40}\d{0,9}(?:-[a-z]{1,40}){1,9}\b")
 _SOLD = re.compile(r"#\w|\bSKU-\d|[$€£]\d")
 _STRUCTURED = re.compile(
     r"\t|\.{4,}|^ {4}|^\d{4}-\d\d-\d\d|^\s*\$ |[{}]\s*$|;\s*$(?<=\);)|\b[CM]-\w\b|^\S.*? {2,}\S|\b\w+_\w+|--\w|^```|^\s*\|.*\|\s*$|\bline:\d+"
@@ -186,4 +186,4 @@ def spam_pages(documents: DataFrame) -> DataFrame:
         return f
 
     rows = documents.where("text is not null and doc_id is not null").select("doc_id", "text")
-    return common.map_rows(rows, "doc_id long", make).distinct()
+    return common.map_rows(rows, "doc_id long", make, scan=True).distinct()

@@ -38,4 +38,4 @@ def count_tokens(rows: DataFrame, text: str, ranks_path: str = RANKS) -> DataFra
 
         return f
 
-    return common.map_rows(rows.select(*rest, text), f"{schema}, tokens long", make)
+    return common.map_rows(rows.select(*rest, text), f"{schema}, tokens long", make, scan=True)
