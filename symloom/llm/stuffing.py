@@ -21,7 +21,7 @@ from symloom.llm import common
 #: Most of the text: the share of characters in spam stretches from which a page is a case.
 MOST = 0.5
 #: A text with this share of function words is prose, and needs no closer look.
-PROSE = 0.24
+PROSE = 0.28
 #: Lags over which terms are compared, and the share of terms that come again within them in stuffed text.
 LAGS, AGAIN = 16, 0.34
 #: Least items in a list of terms, and the share of its words that may be function words.
