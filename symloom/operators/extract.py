@@ -13,7 +13,7 @@ from collections.abc import Iterator, Mapping
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -448,10 +448,9 @@ def line_entries(lines: DataFrame, rules: list[Rule], line: str = "line", line_n
     return found.select(*kept, "_made.name", "_made.kind", "_made.rule")
 
 
-def multi_names(files: DataFrame, rule: Rule, text: str = "contents") -> DataFrame:
-    """Names of a multi-line rule in built-in expressions, where no lines or scopes are asked for."""
+def multi_name_list(text: Column, rule: Rule) -> Column:
+    """The names of a multi-line rule as an array, where no lines or scopes are asked for; null for null."""
     from symloom.functions.regex import to_java
 
     g = int(rule.name[1:]) if re.fullmatch(r"\\\d", rule.name) else 0
-    names = F.regexp_extract_all(F.col(text), F.lit(to_java(rule.pattern, rule.icase, lines=False)), g)
-    return files.where(F.col(text).isNotNull()).select(*[c for c in files.columns if c != text], F.explode(names).alias("name"), F.lit(rule.kind).alias("kind"))
+    return F.regexp_extract_all(text, F.lit(to_java(rule.pattern, rule.icase, lines=False)), g)

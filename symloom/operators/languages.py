@@ -460,6 +460,8 @@ lang(
 )
 lang("TeXBeamer", "f:frametitle g:framesubtitle", "", [R(r"\\frametitle\{([^}]+)\}", "f"), R(r"\\framesubtitle\{([^}]+)\}", "g")])
 lang("BibTeX", "a:article b:book B:booklet c:conference i:inbook I:incollection j:inproceedings m:manual M:mastersthesis n:misc p:phdthesis P:proceedings s:string t:techreport u:unpublished", "bib", [R(rf"^\s*@{w}\s*\{{\s*([^,\s]+)", k, icase=True) for k, w in (x.split(":") for x in "a:article b:book B:booklet c:conference i:inbook I:incollection j:inproceedings m:manual M:mastersthesis n:misc p:phdthesis P:proceedings t:techreport u:unpublished".split())] + [R(r"^\s*@string\s*\{\s*(\w+)", "s", icase=True)])
+lang("BibLaTeX", "A:artwork B:audio C:bibnote D:bookinbook G:collection H:commentary I:dataset J:image L:jurisdiction M:legislation N:legal O:letter P:movie Q:music o:online r:report t:thesis", "", [R(rf"^\s*@{w}\s*\{{\s*([^,\s]+)", k, icase=True) for k, w in (x.split(":") for x in "A:artwork B:audio C:bibnote D:bookinbook G:collection H:commentary I:dataset J:image L:jurisdiction M:legislation N:legal O:letter P:movie Q:music o:online r:report t:thesis".split())], base="")
+lang("BETA", "f:fragment p:pattern- s:slot v:virtual", "bet", [R(r"^\s*-+\s*(\w+)\s*:", "f"), R(r"<<\s*SLOT\s+(\w+)", "s", icase=True), R(r"^\s*(\w+)\s*:<", "v"), R(r"^\s*(\w+)\s*:\s*\(#", "p")])
 lang("Man", "t:title s:section S:subsection", "man 1 2 3 4 5 6 7 8 9 3pm 3stap 7stap", [R(r'^\.TH\s+"?([^"\s]+)', "t"), R(r'^\.SH\s+"?([^"]+?)"?\s*$', "s"), R(r'^\.SS\s+"?([^"]+?)"?\s*$', "S")])
 lang("Diff", "m:modifiedFile n:newFile d:deletedFile h:hunk", "diff patch", [R(r"^---\s+(?:a/)?(?!/dev/null)([^\t\n]+)", "m"), R(r"^@@\s+(.*?)\s+@@", "h")])
 lang("DosBatch", "l:label v:variable b:batchfile", "bat cmd", [R(r"^\s*:([A-Za-z_0-9]+)\s*$", "l"), R(r"^\s*set\s+(?:/[ap]\s+)?\"?(\w+)=", "v", icase=True), R(r"^\s*call\s+([\w.\\-]+\.(?:bat|cmd))", "b", icase=True, role="called")])

@@ -74,7 +74,7 @@ def enclosing(points: DataFrame, entries: DataFrame, file: str = "file_id", line
     """For each point the last entry by (line, entry_id) whose interval holds its line; points in none are kept.
 
     A range join on the file and the bucket of lines: an interval is listed in each bucket that it meets, so
-    a hot file splits into buckets and no pair outside a bucket is formed.
+    a hot file splits into buckets and no pair outside a bucket is formed. Equal points become one.
     """
     spans = entries.where(F.col("end") > F.col("line")).select(F.col(file), F.col("line").alias("_lo"), F.col("end").alias("_hi"), F.col("entry_id").alias("_id"), F.col("name").alias("_name"))
     spans = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / bucket), F.floor(F.col("_hi") / bucket))))
@@ -96,10 +96,15 @@ def count_in_scope(entries: DataFrame, file: str = "file_id", scope: str = "scop
     return d.where(F.col(scope).isNotNull()).groupBy(file, scope).agg(F.count(F.lit(1)).alias("n"))
 
 
-def totals(files: DataFrame, entries: DataFrame, text: str = "contents") -> DataFrame:
-    """Files, lines, kB and entries in one row."""
-    n_lines = F.size(F.split(F.col(text), "\n", -1)) - F.when(F.col(text).endswith("\n"), 1).otherwise(0)
-    f = files.where(F.col(text).isNotNull()).agg(F.count(F.lit(1)).alias("files"), F.sum(F.when(F.col(text) == "", 0).otherwise(n_lines)).alias("lines"), F.sum(F.octet_length(text)).alias("bytes"))
+def line_count(text: Column) -> Column:
+    """Lines of a text; a last line without an end counts, an empty text has none."""
+    n = F.size(F.split(text, "\n", -1)) - F.when(text.endswith("\n"), 1).otherwise(0)
+    return F.when(text == "", 0).otherwise(n).cast("long")
+
+
+def totals(files: DataFrame, entries: DataFrame) -> DataFrame:
+    """Files, lines, bytes and entries in one row; ``files(lines, bytes)`` has one row a file."""
+    f = files.agg(F.count(F.lit(1)).alias("files"), F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes"))
     e = entries.agg(F.count(F.lit(1)).alias("tags"), F.max(F.octet_length("tag_name")).alias("longest_name"))
     return f.crossJoin(e)  # one row with one row
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.functions.dsl import Row, filter_column, format_column, order_columns
 from symloom.functions.escape import escape_name, unescape
 from symloom.operators import scope, writers
 from symloom.operators.catalog import Catalog
-from symloom.operators.extract import extract_entries, line_entries, lines_of, multi_names
+from symloom.operators.extract import extract_entries, line_entries, lines_of, multi_name_list
 from symloom.operators.languages import REGISTRY
 from symloom.operators.rank import latest, ranked
 from symloom.operators.spec import Rule
@@ -259,19 +259,25 @@ def regex_exclusive(s, d):
 _GOOD = "(SELECT DISTINCT ON (file_id) file_id, path, contents, lang FROM files WHERE contents IS NOT NULL ORDER BY file_id)"
 
 
-def good(s: SparkSession, d: str, *ext: str) -> DataFrame:
+def good(s: SparkSession, d: str, *ext: str, **made: Column) -> DataFrame:
+    """One row a readable file: ``file_id`` and the columns ``made`` of its path and contents.
+
+    They are computed before the rows of repeated reads meet, so texts are not shuffled.
+    """
     f = t(s, d, "files").where("contents IS NOT NULL")
     if ext:
         cond = F.lit(False)
         for e in ext:
             cond = cond | F.col("path").endswith(e)
         f = f.where(cond)
-    return f.groupBy("file_id").agg(F.min_by(F.struct("path", "contents", "lang"), "ingested_at").alias("x")).select("file_id", "x.path", "x.contents", "x.lang")
+    f = f.select("file_id", "ingested_at", *[c.alias(k) for k, c in made.items()])
+    return f.groupBy("file_id").agg(F.min_by(F.struct(*made), "ingested_at").alias("x")).select("file_id", *[f"x.{k}" for k in made])
 
 
 @query(f"SELECT file_id, unnest(regexp_extract_all(contents, '<xsl:template name=\"([a-z_-]+)\"', 1)) AS name, 'n' AS kind FROM {_GOOD} WHERE suffix(path, '.xsl')")
 def regex_multiline_extract(s, d):
-    return multi_names(good(s, d, ".xsl").select("file_id", "contents"), Rule('<xsl:template name="([a-z_-]+)"', r"\1", "n"))
+    names = good(s, d, ".xsl", names=multi_name_list(F.col("contents"), Rule('<xsl:template name="([a-z_-]+)"', r"\1", "n")))
+    return names.select("file_id", F.explode("names").alias("name"), F.lit("n").alias("kind"))
 
 
 def extracted(s: SparkSession, d: str, *ext: str) -> DataFrame:
@@ -352,25 +358,24 @@ query("SELECT lang, kind, count(*) AS n FROM (SELECT e.lang, coalesce(k.kind, e.
 )
 query(
     f"SELECT * FROM (SELECT count(*) AS files, CAST(sum(len(string_split(contents, chr(10))) - CASE WHEN suffix(contents, chr(10)) THEN 1 ELSE 0 END) AS BIGINT) AS lines, CAST(sum(strlen(contents)) AS BIGINT) AS bytes FROM {_GOOD}) CROSS JOIN (SELECT count(*) AS tags, max(strlen(tag_name)) AS longest_name FROM ({_ONE}))", "totals_stats"
-)(lambda s, d: scope.totals(good(s, d), current(s, d)).select("files", "lines", "bytes", "tags", F.col("longest_name").cast("long").alias("longest_name")))
+)(lambda s, d: scope.totals(good(s, d, lines=scope.line_count(F.col("contents")), bytes=F.octet_length("contents")), current(s, d)).select("files", "lines", "bytes", "tags", F.col("longest_name").cast("long").alias("longest_name")))
 
 
 @query(f"SELECT f.file_id, min(l.lang) AS detected FROM {_GOOD} f LEFT JOIN langmap l ON l.spec = 'extension' AND regexp_extract(f.path, '\\.([^./]*)$', 1) = l.pattern_text GROUP BY f.file_id")
 def detect_language(s, d):
-    f = good(s, d).select("file_id", "path")
-    return sources.detect_by_name(f, t(s, d, "langmap")).select("file_id", "detected")
+    return sources.detect_by_name(good(s, d, path=F.col("path")), t(s, d, "langmap")).select("file_id", "detected")
 
 
 @query()
 def detect_by_content(s, d):
     """Perl or Raku, by which one's constructs come first."""
     a, b = sources.SELECTORS["Perl", "Raku"]
-    return good(s, d, ".pm").select("file_id", sources.select_by_content(F.col("contents"), "Perl", "Raku", a, b).alias("detected"))
+    return good(s, d, ".pm", detected=sources.select_by_content(F.col("contents"), "Perl", "Raku", a, b))
 
 
 @query(f"SELECT file_id, CASE WHEN starts_with(path, './') THEN path[3:] ELSE path END AS folded FROM {_GOOD}")
 def canonicalize_path(s, d):
-    return good(s, d).select("file_id", sources.canonical(F.col("path"), F.lit("/srv/build")).alias("folded"))
+    return good(s, d, folded=sources.canonical(F.col("path"), F.lit("/srv/build")))
 
 
 @query("SELECT p_partkey, list_reduce(list_prepend(CAST(5381 AS BIGINT), [CAST(ascii(c) AS BIGINT) FOR c IN string_split(p_name, '')]), lambda h, c: (h * 33 + c) % 4294967296) AS h FROM part")
@@ -388,8 +393,8 @@ def append_replaced(s, d):
 @query(f"SELECT file_id, path AS name, 'F' AS kind, 1 AS line, CAST(len(string_split(contents, chr(10))) - CASE WHEN suffix(contents, chr(10)) THEN 1 ELSE 0 END AS BIGINT) AS end_line FROM {_GOOD}")
 def file_entries(s, d):
     """One entry an input file, from its first to its last line."""
-    n = F.size(F.split("contents", "\n", -1)) - F.when(F.col("contents").endswith("\n"), 1).otherwise(0)
-    return good(s, d).select("file_id", F.col("path").alias("name"), F.lit("F").alias("kind"), F.lit(1).alias("line"), n.cast("long").alias("end_line"))
+    f = good(s, d, name=F.col("path"), end_line=scope.line_count(F.col("contents")))
+    return f.select("file_id", "name", F.lit("F").alias("kind"), F.lit(1).alias("line"), "end_line")
 
 
 #: A language defined by options: a state machine over change logs.

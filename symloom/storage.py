@@ -11,11 +11,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
-import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_OWN: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,13 +34,22 @@ def _remove(spark: SparkSession, path: str) -> None:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended; its folder goes with it
+    except Exception:  # the session has ended before; the folder is left to whoever cleans the shared one
         pass
 
 
+def _tables(spark: SparkSession) -> str:
+    """The application's own folder below the shared one; it is removed when the driver ends."""
+    path = f"{shared_dir(spark)}/symloom-tables/{spark.sparkContext.applicationId}"
+    if path not in _OWN:
+        _OWN.add(path)
+        atexit.register(_remove, spark, path)
+    return path
+
+
 def write_table(df: DataFrame, name: str = "t") -> str:
     """Writes ``df`` as Parquet below the shared folder; returns the path."""
-    path = f"{shared_dir(df.sparkSession)}/symloom-tables/{name}-{uuid.uuid4().hex}"
+    path = f"{_tables(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return path
 
@@ -48,24 +57,7 @@ def write_table(df: DataFrame, name: str = "t") -> str:
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """``df`` written once and read back: everything above reads the table, not the lineage.
 
-    The table is removed when the returned frame is garbage and at the latest with the folder.
+    Results are lazy and may read the table at any later time, so it stays until the driver ends.
     """
     spark = df.sparkSession
     return spark.read.schema(df.schema).parquet(write_table(df, name))
-
-
-class Scratch:
-    """Tables of one long job, removed together by ``drop`` once its result has been written."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.paths = spark, []
-        weakref.finalize(self, lambda: None)
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = write_table(df, name)
-        self.paths.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, keep: int = 0) -> None:
-        while len(self.paths) > keep:
-            _remove(self.spark, self.paths.pop(0))
