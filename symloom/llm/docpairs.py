@@ -78,7 +78,7 @@ def informative(doc: str, name: str) -> bool:
     w = _WORD.findall(doc)
     if dense * 2 > sum(map(len, w)):
         return sum(1 for ch in doc if ch.isalnum()) >= 10
-    return len(w) >= 4 and not {x.lower() for x in w} <= ARTICLES | parts_of(name)
+    return sum(any(c.isalnum() for c in x) for x in doc.split()) >= 4 and not {x.lower() for x in w} <= ARTICLES | parts_of(name)
 
 
 def commented_code(text: str) -> bool:
