@@ -78,12 +78,8 @@ class Book:
         # The longer title first, so that a lesser licence is not read as the plain one.
         self.names.sort(key=lambda x: -len(self.family[x[1]][0][1]))
         self.notice: dict[str, set] = {}
-        self.extra: dict[str, set] = {}
         for stem, own in self.family.items():
-            first = [self._first(r[4]) for r in own]
-            shared = set.intersection(*map(_grams, first))
-            self.notice[stem] = shared
-            self.extra |= {r[0]: _grams(f) - shared for r, f in zip(own, first, strict=True)}
+            self.notice[stem] = set.intersection(*[_grams(self._first(r[4])) for r in own])
 
     @staticmethod
     def _first(notice: str) -> list[str]:
@@ -148,16 +144,22 @@ class Book:
         if score < 0.55:
             return ""
         own = self.family[best]
-        if len(own) == 1:
-            return own[0][0]
-        versions = {r[2] for r in own}
-        if len({(r[2]) for r in own}) == len(own) and all(re.search(rf"\b{re.escape(v)}\b", r[4]) for r, v in zip(own, [r[2] for r in own], strict=True) if "." in v) and any("." in v for v in versions):
-            return self.pick(best, sentence)
-        if any(r[0].lower().endswith(("only", "later")) for r in own):
-            return self.pick(best, sentence if _LATER.search(sentence) or _ONLY.search(sentence) else sentence)
-        # Notices of one family that differ in a clause: the one whose own words the sentence holds.
-        most = max(own, key=lambda r: len(r[4]))
-        return most[0] if len(self.extra[most[0]] & grams) >= 0.5 * len(self.extra[most[0]]) else min(own, key=lambda r: len(r[4]))[0]
+        if any("." in (r[2] or "") and r[2] in r[4] for r in own):
+            seen = set(re.findall(r"\d+(?:\.\d+)+", sentence))
+            own = [r for r in own if r[2] in seen] if seen else own
+        if not own:
+            return UNKNOWN
+        # Wordings that differ in a clause: the one of whose own word pairs the sentence holds most.
+        pairs = [_grams(self._first(r[4])) for r in own]
+        shared = set.intersection(*pairs)
+        rest = [p - shared for p in pairs]
+        held = [len(p & grams) / len(p) if p else 0.0 for p in rest]
+        if len(own) == 1 or max(held) == 0.0 and min(map(len, rest)) > 0:
+            return own[0][0] if len(own) == 1 else UNKNOWN
+        top = max(held)
+        if top < 0.5 and not all(rest):  # the wording without the clause
+            return own[min(range(len(own)), key=lambda i: len(rest[i]))][0]
+        return own[held.index(top)][0] if held.count(top) == 1 else UNKNOWN
 
     def states(self, core: str) -> list[str]:
         """What one block states: ids, 'X OR Y' or UNKNOWN, each once; nothing for mentions and pointers."""
