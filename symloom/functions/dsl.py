@@ -36,6 +36,7 @@ class Val:
     items: tuple[Val, ...] = ()
     literal: object = None
     total: bool = False  # never NULL
+    raw: Column | None = None  # the bare column of a value that counts 0 as missing
 
     def truthy(self) -> Column:
         if self.type == "bool":
@@ -74,7 +75,7 @@ class Row:
             return Val("bool", F.coalesce(c.cast("boolean"), F.lit(False)), total=True)
         if kind == "int":
             c = c.cast("long")
-            return Val("int", F.nullif(c, F.lit(0)) if name == "line" else c)
+            return Val("int", F.nullif(c, F.lit(0)), raw=c) if name == "line" else Val("int", c)
         return Val("str", c.cast("string"))
 
     def _field(self, key: str) -> Column:
@@ -143,6 +144,36 @@ class Compiler:
             return self.other.variable(name[1:])
         raise DslError(f"unbound variable: {name}")
 
+    def condition(self, e) -> Column:
+        """``e`` as the condition of a filter, where NULL counts as false: bare comparisons, which reach the scan.
+
+        In strict mode the order of the operands matters, so there it is the plain truth of the value.
+        """
+        if self.strict or not isinstance(e, list) or not e or not isinstance(e[0], Sym):
+            return truth(self.value(e))
+        name, args = e[0].name, e[1:]
+        if name in ("and", "or") and args:
+            self.value(e)  # the errors are those of the value
+            return reduce((lambda a, b: a & b) if name == "and" else (lambda a, b: a | b), [self.condition(x) for x in args])
+        if name in BARE and len(args) == 2:
+            self.value(e)
+            x, y = (self.value(v) for v in args)
+            cols = [v.raw if v.raw is not None else v.col for v in (x, y)]
+            made = BARE[name](*[c.cast("double") for c in cols] if x.type != y.type else cols)
+            for v in (x, y):
+                if v.raw is not None:
+                    made = made & (v.raw != 0)
+            return made
+        if name == "eq?" and len(args) == 2:
+            x, y = (self.value(v) for v in args)
+            if x.type == y.type and x.type in ("str", "int") and (x.literal is not None or y.literal is not None):
+                return x.col == y.col
+        if name == "member" and len(args) == 2:
+            x, lst = (self.value(v) for v in args)
+            if lst.items and x.col is not None and all(i.literal is not None and i.type == x.type for i in lst.items):
+                return x.col.isin([i.literal for i in lst.items])
+        return truth(self.value(e))
+
     # Each helper that needs a value of a type lives here, so errors read alike.
     def need(self, e, types: str, what: str) -> Val:
         v = self.value(e)
@@ -476,9 +507,21 @@ OPERATORS: dict[str, Callable[[Compiler, list], Val]] = {
 }
 
 
+#: Operators whose bare form serves as a condition.
+BARE: dict[str, Callable[[Column, Column], Column]] = {
+    "<": lambda x, y: x < y,
+    ">": lambda x, y: x > y,
+    "<=": lambda x, y: x <= y,
+    ">=": lambda x, y: x >= y,
+    "prefix?": lambda x, y: F.startswith(x, y),
+    "suffix?": lambda x, y: F.endswith(x, y),
+    "substr?": lambda x, y: F.contains(x, y),
+}
+
+
 def filter_column(exp: str, row: Row, strict: bool = False) -> Column:
-    """The condition of ``-Q``: true where the value is not ``#f``."""
-    return truth(Compiler(row, strict=strict).value(read(exp)))
+    """The condition of ``-Q``: true where the value is not ``#f``; NULL counts as false, as in any filter."""
+    return Compiler(row, strict=strict).condition(read(exp))
 
 
 def format_column(exp: str, row: Row, strict: bool = False) -> Column:

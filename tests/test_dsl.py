@@ -6,6 +6,7 @@ from functools import cmp_to_key
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from symloom.functions.dsl import Row, filter_column, format_column, order_columns, sort_entries
 from symloom.functions.regex import to_java
@@ -108,7 +109,7 @@ def df(spark):
 @settings(max_examples=40, deadline=None, suppress_health_check=list(HealthCheck))
 @given(es=st.lists(exprs, min_size=6, max_size=6))
 def test_filter_agrees_with_interpreter(df, es):
-    got = df.select(*[filter_column(write(e), ROW()).alias(f"c{i}") for i, e in enumerate(es)]).collect()
+    got = df.select(*[F.coalesce(filter_column(write(e), ROW()), F.lit(False)).alias(f"c{i}") for i, e in enumerate(es)]).collect()
     for r, g in zip(ROWS, got, strict=True):
         assert [run(e, r) is not False for e in es] == list(g), [write(e) for e in es]
 
@@ -171,6 +172,14 @@ def test_sorter_in_buckets(spark, monkeypatch):
     assert got == sorted(((k, n) for n, k, _ in rows), key=lambda x: (x[0] != "b", x[1]))
 
 
+def test_conditions_reach_the_scan(spark, tmp_path):
+    spark.range(10).selectExpr("'n' || id as name", "'f' as kind", "cast(id as long) as line").write.parquet(str(tmp_path / "t"))
+    d = spark.read.parquet(str(tmp_path / "t"))
+    row = Row({k: k for k in d.columns})
+    plan = d.where(filter_column('(and (eq? $kind "f") (prefix? $name "n") (> $line 3))', row)).select("name")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(kind,f), StringStartsWith(name,n), Gr" in plan  # the list is cut in print
+
+
 def test_empty_table(spark):
     d = spark.createDataFrame([], SCHEMA)
     assert d.where(filter_column("(> $line 1)", ROW())).count() == 0
