@@ -31,24 +31,26 @@ GRAM = 100
 WINDOW = MIN_SPAN - GRAM + 1
 #: Characters in one automaton; a longer reference is cut into shards that overlap by MIN_SPAN - 1.
 SHARD = 50_000
+#: Classes that share one fingerprint and are still paired where only the shared characters are asked for.
+PAIRED = 64
 #: Partners matched in one task against one reference; the reference goes to as many tasks as needed.
 PARTNERS = 64
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_BASE, _OTHER = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
 class Hasher:
     """Hashes of all grams of a text at once; powers are kept and grow with the longest text seen."""
 
-    def __init__(self) -> None:
+    def __init__(self, base: int = _BASE) -> None:
+        self.base = base
         self.power = self.inverse = np.ones(1, np.uint64)
 
     def _grow(self, n: int) -> None:
         if n > len(self.power):
             m = max(n, 2 * len(self.power))
-            self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(m - 1, _BASE, np.uint64)]), dtype=np.uint64)
-            self.inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(m - 1, _INVERSE, np.uint64)]), dtype=np.uint64)
+            self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(m - 1, self.base, np.uint64)]), dtype=np.uint64)
+            self.inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(m - 1, pow(self.base, -1, 1 << 64), np.uint64)]), dtype=np.uint64)
 
     def grams(self, text: str, k: int = GRAM) -> np.ndarray:
         """One 64-bit hash for each run of ``k`` characters."""
@@ -68,6 +70,10 @@ class Hasher:
 
     def selected(self, text: str) -> np.ndarray:
         """The distinct least gram hashes of all windows of the text; empty for texts under ``MIN_SPAN``."""
+        return np.unique(self.windows(text))
+
+    def windows(self, text: str) -> np.ndarray:
+        """The least gram hash of the window at each place where ``MIN_SPAN`` characters begin."""
         h = self.grams(text)
         if len(h) < WINDOW:
             return np.empty(0, np.uint64)
@@ -76,7 +82,7 @@ class Hasher:
         full = np.concatenate([h, np.full(pad, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, WINDOW)
         left = np.minimum.accumulate(full, axis=1).ravel()
         right = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
-        return np.unique(np.minimum(right[: len(h) - WINDOW + 1], left[WINDOW - 1 : len(h)]))
+        return np.minimum(right[: len(h) - WINDOW + 1], left[WINDOW - 1 : len(h)])
 
 
 class Automaton:
@@ -155,7 +161,8 @@ def covered(spans: list[tuple[int, int]]) -> int:
 class Sharing:
     """The stages of one run over ``records(id, text)``; texts are moved once a stage, by a 16-byte key."""
 
-    def __init__(self, records: DataFrame) -> None:
+    def __init__(self, records: DataFrame, paired: int | None = None) -> None:
+        """``paired``: fingerprints of more classes are left to :meth:`counted`; None pairs them all."""
         base = records.where("text is not null and id is not null").select("id", "text", F.unhex(F.md5("text")).alias("cls"))
         self.members = materialize(base.select("id", "cls", F.length("text").alias("n")).distinct(), "span-members")
         one = base.select("cls", "text").where(F.length("text") >= MIN_SPAN)
@@ -172,8 +179,9 @@ class Sharing:
         marks = common.map_rows(one.select("cls", "text"), "cls binary, h long", make, scan=True).distinct()
         # Posting lists of one class are dropped before any join; the counts combine on the map side.
         marks = materialize(marks, "span-marks")
-        shared = marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-        marks = marks.join(shared, "h")
+        shared = marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        self.hot = marks.join(shared.where(F.col("n") > paired).select("h"), "h") if paired else None
+        marks = marks.join((shared.where(F.col("n") <= paired) if paired else shared).select("h"), "h")
         # A pair joins once for each window it shares; made distinct before any text moves.
         pairs = marks.select("h", F.col("cls").alias("ref")).join(marks, "h").where("ref < cls").select("ref", "cls").distinct()
         self.candidates = materialize(pairs, "span-candidates")
@@ -210,6 +218,28 @@ class Sharing:
 
         return rows.mapInArrow(run, schema)
 
+    def counted(self) -> DataFrame:
+        """``cls, start, stop``: runs of ``MIN_SPAN`` characters that stand in several classes, among those whose
+        window has a fingerprint of more than ``paired`` classes. Runs are counted by a 128-bit hash with
+        map-side combining; no pair is formed, so a group of any size takes time in proportion to its texts."""
+        own = self.hot.groupBy("cls").agg(F.collect_set("h").alias("hs"))  # a text's own windows
+        docs = own.join(self.texts, "cls").select("cls", "hs", "text")
+
+        def make():
+            first, second = Hasher(), Hasher(_OTHER)
+
+            def f(cls, hs, text):
+                at = np.flatnonzero(np.isin(first.windows(text).view(np.int64), np.array(hs, np.int64)))
+                a, b = first.grams(text, MIN_SPAN)[at], second.grams(text, MIN_SPAN)[at]
+                for i, x, y in zip(at.tolist(), a.view(np.int64).tolist(), b.view(np.int64).tolist(), strict=True):
+                    yield cls, i, x, y
+
+            return f
+
+        runs = materialize(common.map_rows(docs, "cls binary, start int, a long, b long", make), "span-runs")
+        several = runs.groupBy("a", "b").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("a", "b")
+        return runs.join(several, ["a", "b"], "left_semi").select("cls", "start", (F.col("start") + MIN_SPAN).alias("stop"))
+
 
 def shared_pairs(records: DataFrame) -> DataFrame:
     """``file_a, file_b`` with file_a < file_b: all pairs of records that share a run of ``MIN_SPAN`` characters.
@@ -228,12 +258,13 @@ def shared_pairs(records: DataFrame) -> DataFrame:
 def shared_spans(records: DataFrame) -> DataFrame:
     """One row a record: ``id, n_chars, copies`` (records with the same text), ``shared_chars`` (its characters
     that stand elsewhere in a run of ``MIN_SPAN`` or more) and ``spans``, the stretches themselves, merged."""
-    s = Sharing(records)
+    s = Sharing(records, PAIRED)
     copies = s.members.groupBy("cls").agg(F.count_distinct("id").alias("copies"))
     found = s.matched(both=True)
 
     # Spans of one class come from all its partners; they are cut to distinct ones, then merged per class.
-    spans = found.select("cls", F.explode("spans").alias("x")).select("cls", "x.start", (F.col("x.start") + F.col("x.length")).alias("stop")).distinct()
+    spans = found.select("cls", F.explode("spans").alias("x")).select("cls", "x.start", (F.col("x.start") + F.col("x.length")).alias("stop"))
+    spans = spans.unionByName(s.counted()).distinct()
     from pyspark.sql import Window
 
     w = Window.partitionBy("cls").orderBy("start", "stop")

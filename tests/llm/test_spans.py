@@ -82,6 +82,20 @@ def test_hot_group(spark):
     assert S.shared_pairs(d).count() == 90 * 89 // 2
 
 
+def test_hot_fingerprints_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(S, "PAIRED", 3)
+    texts = corpus(8, 30)
+    d = spark.createDataFrame(list(texts.items()), "id long, text string")
+    got = {r.id: r.shared_chars for r in S.shared_spans(d).collect()}
+    for k, t in texts.items():
+        elsewhere = {u[i : i + 200] for j, u in texts.items() if j != k for i in range(len(u) - 199)}
+        held = np.zeros(len(t), bool)
+        for i in range(len(t) - 199):
+            if t[i : i + 200] in elsewhere:
+                held[i : i + 200] = True
+        assert got[k] == held.sum()
+
+
 def test_empty(spark):
     d = spark.createDataFrame([], "id long, text string")
     assert S.shared_pairs(d).count() == 0 and S.shared_spans(d).count() == 0
