@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from symloom.functions.dsl import Row, filter_column, format_column, order_columns
 from symloom.functions.escape import escape_name, unescape
-from symloom.operators import scope, writers
+from symloom.operators import scope, stats, writers
 from symloom.operators.catalog import Catalog
 from symloom.operators.extract import extract_entries, line_entries, lines_of, multi_name_list
 from symloom.operators.languages import REGISTRY
@@ -397,6 +397,37 @@ def file_entries(s, d):
     return f.select("file_id", "name", F.lit("F").alias("kind"), F.lit(1).alias("line"), "end_line")
 
 
+@query(f"SELECT file_id, entry_id, tag_name FROM ({_ONE}) WHERE lang IN ('C', 'Perl') AND NOT (lang = 'C' AND kind IN ('f', 'function', 'l', 'local', 'p', 'prototype', 'x', 'externvar', 'z', 'parameter', 'L', 'label', 'D', 'macroparam')) AND NOT (lang = 'Perl' AND kind IN ('d', 'subroutineDeclaration', 'M', 'module', 'h', 'heredoc')) AND NOT coalesce(list_contains(extra_list, 'fileScope'), false)")
+def writable_entries(s, d):
+    """Languages, kinds and extras switched as by options, in one predicate."""
+    from symloom.operators import filters
+    from symloom.operators.spec import Registry
+    from symloom.sources.options import Options
+
+    registry = Registry({n: REGISTRY.get(n) for n in ("C", "Perl")})
+    st = Options(registry)
+    for o in ("--languages=C,Perl", "--kinds-C=-f", "--extras=-F"):
+        st.apply(o)
+    e = current(s, d)
+    return e.where(filters.writable(st.registry, st.settings, F.col("lang"), F.col("kind"), F.col("role_list"), F.col("extra_list"))).select("file_id", "entry_id", "tag_name")
+
+
+query(f"SELECT i AS rule, p AS pattern, CAST(sum(CASE WHEN regexp_matches(line, p) THEN 1 ELSE 0 END) AS BIGINT) AS matched, CAST(sum(CASE WHEN regexp_matches(line, p) THEN 0 ELSE 1 END) AS BIGINT) AS unmatched FROM ({_LINES_SQL}), (VALUES (0, '^Version ([0-9.]+)'), (1, '^#+ (.*)$'), (2, '^- ([A-Z]\w+)')) r(i, p) GROUP BY ALL", "pattern_counters")(
+    lambda s, d: stats.pattern_counts(lines_of(t(s, d, "documents"), "text", "doc_id"), _HEADS)
+)
+query(f"SELECT coalesce(f.lang, e.lang) AS lang, coalesce(files, 0) AS files, CAST(coalesce(bytes, 0) AS BIGINT) AS bytes, coalesce(tags, 0) AS tags FROM (SELECT lang, count(*) AS files, sum(strlen(contents)) AS bytes FROM {_GOOD} GROUP BY lang) f FULL JOIN (SELECT lang, count(*) AS tags FROM ({_ONE}) GROUP BY lang) e ON f.lang IS NOT DISTINCT FROM e.lang", "language_counters")(
+    lambda s, d: stats.language_counts(good(s, d, lang=F.col("lang"), bytes=F.octet_length("contents").cast("long")), current(s, d))
+)
+
+
+@query(f"SELECT e.file_id, e.entry_id, l.line FROM ({_ONE}) e JOIN (SELECT file_id, CAST(i AS BIGINT) AS line_no, ls[i] AS line FROM (SELECT file_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT file_id, string_split(replace(ltrim(contents, chr(65279)), chr(13), ''), chr(10)) AS ls FROM {_GOOD}))) l ON e.file_id = l.file_id AND e.line_no = l.line_no")
+def entry_source_line(s, d):
+    """Each entry with its line of the source: lines that hold no entry are dropped before texts move."""
+    lines = lines_of(t(s, d, "files").where("contents IS NOT NULL"))
+    e = current(s, d).where("line_no IS NOT NULL").select("file_id", "entry_id", "line_no")
+    return e.join(lines, ["file_id", "line_no"]).dropDuplicates(["file_id", "entry_id"]).select("file_id", "entry_id", "line")
+
+
 #: A language defined by options: a state machine over change logs.
 _CHANGELOG = r"""
 --langdef=ChangeLog

@@ -208,3 +208,21 @@ def test_stream(spark, tmp_path):
 
 def test_str_is_a_value():
     assert Str("a") == Str("a") and hash(Str("a")) == hash(Str("a"))
+
+
+def test_filters_and_counts(spark):
+    from symloom.operators import filters, stats
+
+    o = Options().read(OPTIONS)
+    o.apply("--roles-Tiny.{item}=-{used}")
+    e = spark.createDataFrame([("Tiny", "section", ["def"], None, None), ("Tiny", "b", ["def"], [], False), ("Tiny", "item", ["used"], [], False), ("Tiny", "item", None, ["guest"], False), ("Tiny", "item", ["def"], [], True), (None, None, None, None, None)], "l string, k string, r array<string>, x array<string>, p boolean")
+    c = lambda n: F.col(n)
+    assert [(r.k, r.r) for r in e.where(filters.writable(o.registry, o.settings, c("l"), c("k"), c("r"), c("x"), c("p"))).collect()] == [("section", ["def"]), (None, None)]
+    d = spark.createDataFrame([("/a/b/c.x", "/a/d"), ("/a/b", "/a"), ("q/r", "."), ("/x", "/x")], "p string, d string")
+    assert [r[0] for r in d.select(filters.tag_relative(c("p"), c("d"))).collect()] == ["../b/c.x", "b", "q/r", ""]
+    lines = spark.createDataFrame([("ab",), ("b",), (None,)], "line string")
+    assert [tuple(r) for r in stats.pattern_counts(lines, [Rule("^a"), Rule("B", icase=True)]).collect()] == [(0, "^a", 1, 2), (1, "B", 2, 1)]
+    assert stats.pattern_counts(lines.limit(0), [Rule("x")]).first().matched == 0
+    f = spark.createDataFrame([("A", 3), (None, 2)], "lang string, bytes int")
+    assert sorted((r.lang or "", r.files, r.bytes, r.tags) for r in stats.language_counts(f, spark.createDataFrame([("B",), (None,)], "lang string")).collect()) == [("", 1, 2, 1), ("A", 1, 3, 0), ("B", 0, 0, 1)]
+    assert any(r.startswith("!_TAG_KIND_DESCRIPTION!Tiny\ts,section") for r in stats.description_rows(o.registry.get("Tiny")))
