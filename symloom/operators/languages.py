@@ -13,6 +13,8 @@ from symloom.operators.spec import Kind, LanguageSpec, Registry, Rule
 
 C_HIDE = r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|/\*.*?(?:\*/|\Z)|//[^\n]*'
 C_COMMENT = r"/\*.*?(?:\*/|\Z)|//[^\n]*"
+# Code that the preprocessor never passes on.
+IF0 = r"(?:^[ \t]*#[ \t]*if[ \t]+0\b.*?^[ \t]*#[ \t]*(?:endif|else|elif)\b)|"
 HASH = r"(?m:(?:^|(?<=\s))#[^\n]*)"
 QUOTES = r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\''
 SEMI = r";[^\n]*"
@@ -137,7 +139,7 @@ def _c_family(name: str, kind_text: str, ext: str, more_rules: list[Rule], **mor
         scope(host)
         del number
 
-    lang(name, kind_text, ext, function=run, hide=C_COMMENT + r"|\"(?:\\.|[^\"\\\n])*\"(?=\s*[;,)+])|'(?:\\.|[^'\\\n])*'", default_separator="::", **more)
+    lang(name, kind_text, ext, function=run, hide=IF0 + C_COMMENT + r"|\"(?:\\.|[^\"\\\n])*\"(?=\s*[;,)+])|'(?:\\.|[^'\\\n])*'", default_separator="::", **more)
 
 
 _c_family("C", _C_KINDS, "c h", [])

@@ -91,6 +91,32 @@ def lookup_last(entries: DataFrame, keys: DataFrame, on: list[str], order: str =
     return keys.join(last, on).select(*keys.columns, *[F.col(f"_e.`{c}`").alias(c) for c in rest])
 
 
+def ancestors(entries: DataFrame, depth: int = MAX_DEPTH, file: str = "file_id") -> DataFrame:
+    """``file, entry_id, ancestor, distance``: every entry with itself (0), its scope (1), and so on up to the
+    file itself (null). Found by doubling: log2(depth) joins, each along a chain twice as long."""
+    direct = entries.where(F.col("scope_id").isNull() | (F.col("scope_id") != F.col("entry_id"))).select(file, "entry_id", F.col("scope_id").alias("ancestor"), F.lit(1).alias("distance"))
+    reach, reached = direct, 1
+    while reached < depth:
+        more = reach.where("ancestor IS NOT NULL").join(reach.select(file, F.col("entry_id").alias("ancestor"), F.col("ancestor").alias("_a"), F.col("distance").alias("_d")), [file, "ancestor"])
+        # Pairs as long as the known reach lengthen it; shorter ones are known already.
+        far = more.select(file, "entry_id", F.col("_a").alias("ancestor"), (F.col("distance") + F.col("_d")).alias("distance")).where(F.col("distance") > reached)
+        reach = reach.unionByName(far).distinct()
+        reached *= 2
+    own = entries.select(file, "entry_id", F.col("entry_id").cast(dict(direct.dtypes)["ancestor"]).alias("ancestor"), F.lit(0).alias("distance"))
+    return own.unionByName(reach.where(F.col("distance") <= depth))
+
+
+def resolve(entries: DataFrame, refs: DataFrame, depth: int = MAX_DEPTH, file: str = "file_id") -> DataFrame:
+    """For each reference ``(file, ref_id, scope_id, name)`` the entry of that name in the nearest scope outward;
+    of several in one scope the last. References without an entry are left out."""
+    up = ancestors(entries, depth, file).select(file, F.col("entry_id").alias("scope_id"), F.col("ancestor").alias("_s"), F.col("distance").alias("_d"))
+    seen = refs.where("scope_id IS NOT NULL").join(up, [file, "scope_id"]).unionByName(refs.where("scope_id IS NULL").withColumns({"_s": F.col("scope_id"), "_d": F.lit(0)}).select(file, "scope_id", *[c for c in refs.columns if c not in (file, "scope_id")], "_s", "_d"))
+    e = entries.select(F.col(file).alias("_f"), F.col("scope_id").alias("_es"), F.col("name").alias("_n"), F.col("entry_id").alias("target_id"))
+    hit = seen.join(e, (F.col(file) == F.col("_f")) & F.col("_s").eqNullSafe(F.col("_es")) & (F.col("name") == F.col("_n")))
+    best = hit.groupBy(file, "ref_id").agg(F.max_by("target_id", F.struct(-F.col("_d"), F.col("target_id"))).alias("target_id"))
+    return best
+
+
 def count_in_scope(entries: DataFrame, file: str = "file_id", scope: str = "scope_name", definitions_only: bool = False) -> DataFrame:
     d = entries.where(F.array_contains(F.coalesce("role_list", F.array(F.lit("def"))), "def")) if definitions_only else entries
     return d.where(F.col(scope).isNotNull()).groupBy(file, scope).agg(F.count(F.lit(1)).alias("n"))

@@ -331,6 +331,15 @@ query(
 )(lambda s, d: scope.enclosing(current(s, d).where("line_no IS NOT NULL").select("file_id", "entry_id", "line_no"), current(s, d).select("file_id", "entry_id", F.col("line_no").alias("line"), F.col("end_line").alias("end"), F.col("tag_name").alias("name"))).select("file_id", F.col("entry_id"), "enclosing_id"))
 
 
+@query("SELECT c_custkey AS ref_id, CAST(r_regionkey AS BIGINT) AS target_id FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def symbol_resolve_outward(s, d):
+    """A region's name, looked up from the scope of each of its customers."""
+    n = t(s, d, "nation").join(t(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    refs = t(s, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    refs = refs.select(F.lit(1).alias("file_id"), F.col("c_custkey").alias("ref_id"), (F.col("n_nationkey") + 1000).cast("long").alias("scope_id"), F.col("r_name").alias("name"))
+    return scope.resolve(_tree(s, d), refs, depth=4).select("ref_id", "target_id")
+
+
 @query("SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY ALL")
 def symbol_lookup_last(s, d):
     ev = t(s, d, "events")

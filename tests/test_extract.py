@@ -25,7 +25,7 @@ def scoped(lang, text):
 
 
 SAMPLES = {
-    "C": ("#define A 1\nstruct s {\n  int m;\n  char *q;\n};\nstatic int f (int a)\n{\n  return a;\n}\n/* int no (void) { } */\nint v = 3;\n", {"A", "s", "m", "q", "f", "v"}),
+    "C": ("#define A 1\nstruct s {\n  int m;\n  char *q;\n};\nstatic int f (int a)\n{\n  return a;\n}\n/* int no (void) { } */\n#if 0\nint no2 (void)\n{\n}\n#endif\nint v = 3;\n", {"A", "s", "m", "q", "f", "v"}),
     "Python": ("import os\nclass C(object):\n    def m(self, a=(1, 2)):\n        pass\n\ndef f():\n    '''def no(): '''\n    return 1\nV = 2\n", {"C", "m", "f", "V", "os"}),
     "Protobuf": ("package a.b;\nmessage M {\n  optional int32 x = 1; // int32 no = 2;\n  enum E { Z = 0; }\n}\nservice S { rpc R (M) returns (M); }\n", {"a.b", "M", "x", "E", "S", "R"}),
     "Thrift": ("namespace java q\nstruct T {\n  1: required map<string, i32> f,\n}\nservice V {\n  # void no()\n  oneway void g(1: i32 a),\n}\n", {"q", "T", "f", "V", "g"}),

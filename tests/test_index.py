@@ -137,3 +137,24 @@ def test_scan(spark, tmp_path):
         (tmp_path / n).write_text(c)
     got = {r.path.rsplit("/", 1)[1]: r.contents for r in sources.scan(spark, str(tmp_path), maxdepth=2).collect()}
     assert got == {"a.c": "int a;\n", "b.c": "int b;\n"}
+
+
+def test_resolve_outward(spark):
+    rng = random.Random(9)
+    n = 60
+    ents = [(f, i, rng.choice([None, *range(1, i)]) if i > 1 else None, rng.choice("abcd")) for f in (1, 2) for i in range(1, n)]
+    refs = [(f, k, rng.choice([None, *range(1, n)]), rng.choice("abcde")) for f in (1, 2, 3) for k in range(80)]
+    up = {(f, i): s for f, i, s, _ in ents}
+    want = {}
+    for f, k, s, name in refs:
+        while True:
+            own = [i for g, i, t, m in ents if g == f and t == s and m == name]
+            if own:
+                want[f, k] = max(own)
+            if own or s is None or (f, s) not in up:
+                break
+            s = up[f, s]
+    e = spark.createDataFrame(ents, "file_id int, entry_id int, scope_id int, name string")
+    r = spark.createDataFrame(refs, "file_id int, ref_id int, scope_id int, name string")
+    assert {(x.file_id, x.ref_id): x.target_id for x in scope.resolve(e, r).collect()} == want
+    assert scope.resolve(e.limit(0), r).count() == 0
