@@ -154,7 +154,7 @@ def texts_of(contents: str, kind: str) -> Iterator[str]:
             lines = _without_code(lines)
         for para in re.split(r"\n\s*\n", "\n".join(lines)):
             if len(para) >= MIN_DENSE:
-                yield para
+                yield unescape(para)
     for m in common.LEXERS[kind].finditer(contents):
         s = m.group()
         if s[0] in "\"'" and len(s) >= MIN_DENSE:
