@@ -30,7 +30,7 @@ LANGUAGES = ("en", "de", "fr", "es", "pt", "nl", "pl", "ru", "tr", "ja", "zh")
 SAMPLE_DOCS, SAMPLE_CHARS, PROFILE = 100, 1500, 600
 MIN_WORDS, MIN_DENSE = 5, 10
 #: Languages whose distances differ by less than this share are told apart by the rest of the file.
-CLOSE = 0.06
+CLOSE = 0.1
 
 _DENSE = re.compile(r"[぀-ヿ㐀-鿿]")
 _KANA = re.compile(r"[぀-ヿ]")
@@ -218,8 +218,9 @@ def language_shares(files: DataFrame, documents: DataFrame) -> DataFrame:
                     elif langs:
                         open_.append((langs, size))
             sure = {k: c[0] for k, c in n.items()}
+            # Proper names pull a sentence of the first language away from it; between others the file decides.
             for langs, size in open_:
-                c = n.setdefault(max(langs, key=lambda k: (sure.get(k, 0), -LANGUAGES.index(k))), [0, 0])
+                c = n.setdefault(max(langs, key=lambda k: (k == LANGUAGES[0], sure.get(k, 0), -langs.index(k))), [0, 0])
                 c[0] += 1
                 c[1] += size
             for lang, (k, size) in n.items():
