@@ -81,12 +81,12 @@ def _source() -> Column:
 
 def fit_classifier(documents: DataFrame, labels: list[str]) -> Classifier:
     """Fitted on at most about ``SAMPLE_DOCS`` texts a source; which ones hangs on a hash of the id alone."""
-    rows = documents.where("text is not null").withColumn("s", _source()).where(F.col("s").isin(labels))
+    rows = documents.withColumn("s", _source()).where(F.col("s").isin(labels))  # counted without reading a text
     n = {r[0]: r[1] for r in rows.groupBy("s").count().collect()}
     if not n:
         return Classifier([])
     share = F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(int(1e6 * min(1.0, SAMPLE_DOCS / v))))])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(share, F.col("s")))
+    sample = rows.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(share, F.col("s"))))
     return Classifier([tuple(r) for r in sample.select("s", F.substring("text", 1, 20_000)).collect()])
 
 
