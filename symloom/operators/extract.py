@@ -20,6 +20,7 @@ from pyspark.sql.types import StructType
 
 from symloom.functions.script import Context, Machine, Quit, ScriptError, Stop, compile_script
 from symloom.operators.spec import LanguageSpec, Registry, Rule, to_python
+from symloom.sources.parallel import ready
 
 ENTRY = (
     "file_id long, entry_id int, path string, language string, name string, kind string, kind_letter string, roles array<string>, line long, end long, nth int,"
@@ -383,6 +384,7 @@ def extract_entries(files: DataFrame, registry: Registry, references: bool = Fal
     """
     from symloom.functions.patterns import search_pattern
 
+    ready(files.sparkSession)
     struct = StructType.fromDDL(ENTRY)
     arrow = to_arrow_schema(struct)
     names = [f.name for f in struct.fields]

@@ -421,7 +421,7 @@ def writable_entries(s, d):
     return e.where(filters.writable(st.registry, st.settings, F.col("lang"), F.col("kind"), F.col("role_list"), F.col("extra_list"))).select("file_id", "entry_id", "tag_name")
 
 
-query(f"SELECT i AS rule, p AS pattern, CAST(sum(CASE WHEN regexp_matches(line, p) THEN 1 ELSE 0 END) AS BIGINT) AS matched, CAST(sum(CASE WHEN regexp_matches(line, p) THEN 0 ELSE 1 END) AS BIGINT) AS unmatched FROM ({_LINES_SQL}), (VALUES (0, '^Version ([0-9.]+)'), (1, '^#+ (.*)$'), (2, '^- ([A-Z]\w+)')) r(i, p) GROUP BY ALL", "pattern_counters")(
+query(f"SELECT i AS rule, p AS pattern, CAST(sum(CASE WHEN regexp_matches(line, p) THEN 1 ELSE 0 END) AS BIGINT) AS matched, CAST(sum(CASE WHEN regexp_matches(line, p) THEN 0 ELSE 1 END) AS BIGINT) AS unmatched FROM ({_LINES_SQL}), (VALUES (0, '^Version ([0-9.]+)'), (1, '^#+ (.*)$'), (2, '^- ([A-Z]\\w+)')) r(i, p) GROUP BY ALL", "pattern_counters")(
     lambda s, d: stats.pattern_counts(lines_of(t(s, d, "documents"), "text", "doc_id"), _HEADS)
 )
 query(f"SELECT coalesce(f.lang, e.lang) AS lang, coalesce(files, 0) AS files, CAST(coalesce(bytes, 0) AS BIGINT) AS bytes, coalesce(tags, 0) AS tags FROM (SELECT lang, count(*) AS files, sum(strlen(contents)) AS bytes FROM {_GOOD} GROUP BY lang) f FULL JOIN (SELECT lang, count(*) AS tags FROM ({_ONE}) GROUP BY lang) e ON f.lang IS NOT DISTINCT FROM e.lang", "language_counters")(

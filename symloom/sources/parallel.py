@@ -1,8 +1,14 @@
-"""Enough tasks for row-by-row work over small scans."""
+"""What row-by-row work in Python needs: enough tasks over small scans, and workers that know the package."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -14,3 +20,31 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     splits = df._jdf.queryExecution().executedPlan().execute().getNumPartitions()
     return df.repartition(cores) if splits < cores else df
+
+
+_READY: set[str] = set()
+
+
+def ready(spark: SparkSession) -> None:
+    """Sees to it that the Python workers can import this package, once an application.
+
+    Where it is not installed on them (one task asks), the package is sent as a zip file.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _READY:
+        return
+
+    def has_it(_):
+        import importlib.util
+
+        return importlib.util.find_spec("symloom") is not None
+
+    if not sc.parallelize([0], 1).map(has_it).first():
+        root = Path(__file__).resolve().parents[1]
+        kept = Path(tempfile.mkdtemp(prefix="symloom-")) / "symloom.zip"  # on the driver, which serves it
+        with zipfile.ZipFile(kept, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        atexit.register(shutil.rmtree, kept.parent, True)
+        sc.addPyFile(str(kept))
+    _READY.add(sc.applicationId)
