@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from symloom.sources.parallel import spread
+from symloom.sources.parallel import ready, spread
 
 #: Rows in one Arrow batch. Texts may be long, so a batch is kept small; it bounds a worker's memory.
 BATCH_ROWS = 1000
@@ -27,6 +27,7 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., Iterat
     Errors of single rows are not swallowed: ``f`` has to define a result for null and odd values.
     """
     spark = df.sparkSession
+    ready(spark)
     if scan:
         df = spread(df)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
