@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from symloom.functions.dsl import OPERATORS, VARIABLES
 from symloom.functions.script import OPS
 from symloom.operators.spec import Registry
+from symloom.operators.writers import MODES
 
 # Letter, name, type and default of the built-in fields.
 FIELDS = [
@@ -18,7 +19,7 @@ FIELDS = [
 ]
 # Letter, name and default of the extras.
 EXTRAS = [("F", "fileScope", True), ("f", "inputFile", False), ("p", "pseudo", True), ("q", "qualified", False), ("r", "reference", False), ("g", "guest", False), ("s", "subparser", True), (None, "anonymous", True), ("z", "nulltag", False)]
-FORMATS = ("u-ctags", "e-ctags", "etags", "xref", "json")
+FORMATS = (*MODES, "etags", "xref", "json")
 REGEX_FLAGS = ("basic", "extend", "icase", "exclusive", "postrun", "scope", "placeholder", "mgroup", "_advanceTo", "_guest", "_language", "_extra", "_field", "_role", "_anonymous", "fatal", "warning", "tenter", "tleave", "tjump", "treset", "tquit")
 
 

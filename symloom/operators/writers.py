@@ -13,6 +13,8 @@ from symloom.functions.escape import escape, escape_name
 
 #: Fixed value: the order of extension fields in a row.
 FIELD_ORDER = ("kind", "line", "language", "scope", "typeref", "file", "inherits", "access", "implementation", "signature", "roles", "extras", "xpath", "end", "epoch", "nth")
+#: How headers name the escaping form of a row and the older one.
+MODES = ("u-ctags", "e-ctags")
 #: Fixed value: bytes of a line that a search pattern keeps.
 PATTERN_LIMIT = 96
 
@@ -68,7 +70,7 @@ def tags_line(columns: Mapping[str, Column], extra: Sequence[tuple[str, Column]]
 
 
 def etags_writable(columns: Mapping[str, Column]) -> Column:
-    """e-ctags rows cannot escape: a tab or line end in any field drops the row."""
+    """Rows of the older form cannot escape: a tab or line end in any field drops the row."""
     bad = [F.coalesce(c.cast("string").rlike(r"[\t\n\r]"), F.lit(False)) for k, c in columns.items() if k != "file"]
     out = F.lit(True)
     for b in bad:
@@ -139,12 +141,12 @@ def append(old: DataFrame, new: DataFrame, path: str = "input") -> DataFrame:
     return old.join(new.select(path).distinct(), path, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def header_rows(spark, sort: str = "yes", mode: str = "u-ctags") -> DataFrame:
+def header_rows(spark, sort: str = "yes", mode: str = MODES[0]) -> DataFrame:
     """Header rows of an index, as lines."""
     rows = [
         ("!_TAG_FILE_FORMAT", "2", "extended format"),
         ("!_TAG_FILE_SORTED", {"no": "0", "yes": "1", "foldcase": "2"}[sort], "0=unsorted, 1=sorted, 2=foldcase"),
-        ("!_TAG_OUTPUT_MODE", mode, "u-ctags or e-ctags"),
+        ("!_TAG_OUTPUT_MODE", mode, " or ".join(MODES)),
         ("!_TAG_OUTPUT_FILESEP", "slash", "slash or backslash"),
         ("!_TAG_PATTERN_LENGTH_LIMIT", str(PATTERN_LIMIT), "0 for no limit"),
     ]

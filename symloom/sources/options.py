@@ -11,11 +11,16 @@ from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 from symloom.operators.spec import Kind, LanguageSpec, Registry, Rule
+from symloom.operators.writers import MODES
 
 # What the short names of pattern flags stand for.
 _SHORT = {"i": "icase", "x": "exclusive", "b": "basic", "e": "extend", "p": "pcre2"}
 
 
+#: Fixed value: names of option files.
+FILES = "*.ctags"
+
+
 class OptionError(ValueError):
     pass
 
@@ -28,7 +33,7 @@ class Settings:
     extras: set[str] = field(default_factory=lambda: set("Fs"))
     excludes: list[str] = field(default_factory=list)
     sort: str = "yes"
-    output_format: str = "u-ctags"
+    output_format: str = MODES[0]
     excmd: str = "combine"
     pattern_limit: int = 96
     maxdepth: int | None = None
@@ -175,9 +180,9 @@ class Options:
         self.tables: dict[str, dict[str, list[Rule]]] = {}
 
     def load(self, path: str) -> Options:
-        """A file, or all ``.ctags`` files of a directory in order of name."""
+        """A file, or all option files of a directory in order of name."""
         p = Path(path)
-        for f in sorted(p.glob("*.ctags")) if p.is_dir() else [p]:
+        for f in sorted(p.glob(FILES)) if p.is_dir() else [p]:
             self.read(f.read_text())
         return self
 

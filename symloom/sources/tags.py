@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from symloom.functions.dsl import Row, ascii_lower, filter_column, format_column, sort_entries
 from symloom.functions.escape import unescape
+from symloom.operators.writers import MODES
 
 # An address: a line number, a pattern that ends at its first delimiter behind an even number of
 # backslashes, or both; a pattern that is not closed reaches to the end of the line.
@@ -87,7 +88,7 @@ class Index:
         lines = spark.read.text(path)
         header = parse_ptags(lines)
         said = {(r[0], r[1]) for r in header.where(F.col("ptag_name").isin("_TAG_OUTPUT_MODE", "_TAG_OUTPUT_FILESEP")).select("ptag_name", "setting").distinct().limit(8).collect()}
-        slash = ("_TAG_OUTPUT_MODE", "u-ctags") in said and ("_TAG_OUTPUT_FILESEP", "slash") in said
+        slash = ("_TAG_OUTPUT_MODE", MODES[0]) in said and ("_TAG_OUTPUT_FILESEP", "slash") in said
         return cls(parse_rows(lines, unescape_input=slash), header)
 
     @classmethod
