@@ -96,7 +96,7 @@ def test_containment(spark):
 PROSE = "The parser reads the next line and keeps it. When the file ends, the index is written to the disk. "
 SPAM = [
     "tag cleaner / free tag cleaner / tag cleaner / new tag cleaner / tag cleaner / free tag cleaner / tag cleaner / tag cleaner",
-    "Pro ctags plugin for windows ctags plugin crack code browser! No ads ctags plugin for buy ctags plugin near me ctags plugin. Best ctags plugin for free ctags plugin sale ctags plugin.",
+    "Pro tag plugin for windows tag plugin crack code browser! No ads tag plugin for buy tag plugin near me tag plugin. Best tag plugin for free tag plugin sale tag plugin.",
     "\n".join(f"https://a{i}b.example/x_{i}" for i in range(20)),
     " • ".join(f"www.step-flag{i}.test" for i in range(20)),
     "\n".join(f"Some Name - node-token{i} dot example" for i in range(20)),
