@@ -1,8 +1,9 @@
 """Problem 8: pages of stuffed keywords, link lists or product tags.
 
 Method: the terms of a page without function words are laid out by position; the gaps at which terms
-come again and their autocorrelation over a window of lags show repetition that is too regular for
-prose, and lists of many terms without function words are the second sign. Text that carries links and
+come again, over the whole page, and their autocorrelation over all lags show repetition that is too
+regular for prose, and lists of many different terms without function words are the second sign; words
+that sell only add to either. Text that carries links and
 tags is judged by its own form. A page is a case if most of its characters stand in such stretches.
 
 Defined results: null and empty texts are no cases; each doc_id gives at most one row; rows with the
@@ -22,10 +23,12 @@ from symloom.llm import common
 MOST = 0.5
 #: A text with this share of function words is prose, and needs no closer look.
 PROSE = 0.28
-#: Lags over which terms are compared, and the share of terms that come again within them in stuffed text.
-LAGS, AGAIN = 16, 0.34
+#: The share of terms that come again in stuffed text.
+AGAIN = 0.34
 #: Least items in a list of terms, and the share of its words that may be function words.
 ITEMS, FEW = 6, 0.12
+#: Terms from which words with few function words are a list, though none of them sells.
+LONG = 24
 
 # Frequent function words of the languages met.
 FUNCTION = frozenset(
@@ -65,19 +68,48 @@ _STOP = re.compile(r"(?<=[.!?])\s+(?=\S)|(?<=[。！？])")
 _SEPARATOR = re.compile(r"\s*(?:[,;|/•·»→*–—]|\s-\s|\.\s|!\s)\s*")
 
 
+def autocorrelation(ids: np.ndarray) -> np.ndarray:
+    """For each lag the number of places that hold the same term as the place so many terms before. Exact.
+
+    Terms with few places are paired; those with more than the root of the length go over a Fourier transform.
+    """
+    n = len(ids)
+    out = np.zeros(n, np.int64)
+    order = np.argsort(ids, kind="stable")
+    term = ids[order]
+    most = max(32, int(n**0.5))
+    count = np.bincount(ids)
+    rare = count[term] <= most
+    pos, term_ = order[rare], term[rare]
+    for k in range(1, min(most, len(pos))):
+        same = term_[k:] == term_[:-k]
+        if not same.any():
+            break
+        out += np.bincount((pos[k:] - pos[:-k])[same], minlength=n)
+    often = np.flatnonzero(count > most)
+    if len(often):
+        size = 1 << (2 * n - 1).bit_length()
+        power = np.zeros(size // 2 + 1)
+        for i in often:
+            power += np.abs(np.fft.rfft(ids == i, size)) ** 2
+        out += np.rint(np.fft.irfft(power, size)[:n]).astype(np.int64)
+    out[0] = 0
+    return out
+
+
 def again(ids: np.ndarray) -> tuple[float, float]:
-    """The share of terms that stood before within ``LAGS`` terms, and the highest autocorrelation of a lag."""
+    """The share of terms that stood anywhere before, and the highest autocorrelation of a lag.
+
+    Lags go up to the length, as far as the terms after them are eight or more and can make ``AGAIN`` of all.
+    """
     n = len(ids)
     if n < 4:
         return 0.0, 0.0
-    near = np.zeros(n, bool)
-    peak = 0.0
-    for lag in range(1, min(LAGS, n - 1) + 1):
-        same = ids[lag:] == ids[:-lag]
-        near[lag:] |= same
-        if n - lag >= 8:
-            peak = max(peak, float(same.mean()))
-    return float(near.mean()), peak
+    rate = 1 - len(np.unique(ids)) / n
+    lags = n - max(8, int(AGAIN * n))
+    if not rate or lags < 1:
+        return rate, 0.0
+    return rate, float((autocorrelation(ids)[1 : lags + 1] / (n - np.arange(1, lags + 1))).max())
 
 
 def _described(rest: str) -> bool:
@@ -99,9 +131,13 @@ def spam_share(text: str) -> float:
         words = [w for _, ws in pending for w in ws]
         content = [w for w in words if w not in FUNCTION]
         items = [x for s, _ in pending for x in _SEPARATOR.split(s) if x.strip()]
+        # Sentences may be wrapped over lines.
+        sentences = [x for x in _STOP.split(" ".join(s for s, _ in pending)) if x]
         pending.clear()
         if len(content) < ITEMS:
             return 0
+        if sum(len(x) for x in sentences if _is_prose(x, _WORD.findall(x.lower()))) * 2 >= size:
+            return 0
         index: dict[str, int] = {}
         ids = np.fromiter((index.setdefault(w, len(index)) for w in content), np.int64, len(content))
         rate, peak = again(ids)
@@ -109,7 +145,8 @@ def spam_share(text: str) -> float:
         selling = sum(w in SELLING for w in content) / len(content)
         if rate >= AGAIN and (few or selling >= 0.1 or peak >= 0.3):
             return size
-        if few and selling >= 0.15:
+        # Most terms are different ones here.
+        if few and (len(content) >= LONG or selling >= 0.15):
             return size
         if few and len(items) >= ITEMS and len(content) <= 5 * len(items) and selling >= 0.06:
             return size

@@ -143,3 +143,38 @@ def test_pages(spark):
     got = sorted(r[0] for r in S.spam_pages(d).collect())
     assert [x for x in got if x < 500] == list(range(len(SPAM)))
     assert S.spam_pages(d.limit(0)).count() == 0
+
+
+# Words that neither sell nor come from the lists of this module.
+NOUNS = "kettle toaster mixer blender grill freezer cooker heater fan lamp shelf table drawer carpet mirror vase pillow blanket mattress curtain ladder hammer drill wrench bucket hose shovel rake barrow fence".split()
+LISTS = [
+    ", ".join(NOUNS),
+    " ".join(NOUNS),
+    "\n".join(f"{a} {b}" for a, b in zip(NOUNS, NOUNS[1:] + NOUNS[:1], strict=True)),
+    ", ".join(NOUNS[:20] * 3),
+    " / ".join(f"{a} {b} for {c} {d}" for a, b, c, d in [NOUNS[i : i + 4] for i in range(0, 28, 4)] * 3),
+]
+#: Sentences wrapped over lines, whose function words are not in the fixed list.
+WRAPPED = "Сначала входной буфер считает ключ\nсортировки, потому что так требовал старый\nформат. После ошибки внешний цикл сортирует\nвсе допустимые имена, как только файл\nзакрыт. Обычно стек областей сортирует\nключ сортировки перед выходом из блока. Сначала\nфильтр имён заменяет пустое поле, потому что\nтак требовал старый формат.\n"
+
+
+@pytest.mark.parametrize("text", LISTS)
+def test_lists_without_selling_words(text):
+    assert not any(w in S.SELLING for w in NOUNS)
+    assert S.is_spam(text) and S.is_spam("Some title\n\n" + text + "\n\n" + PROSE)
+
+
+def test_wrapped_prose():
+    assert not S.is_spam(WRAPPED) and not S.is_spam(WRAPPED * 4)
+
+
+def test_whole_page_repetition():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n, k in [(5, 2), (40, 3), (300, 4), (300, 100), (3000, 5), (3000, 2000)]:
+        ids = rng.integers(0, k, n)
+        got = S.autocorrelation(ids)
+        assert all(got[lag] == (ids[lag:] == ids[:-lag]).sum() for lag in range(1, n))
+    rate, peak = S.again(np.tile(np.arange(40), 3))
+    assert rate > 0.6 and peak == 1.0
