@@ -87,6 +87,19 @@ def commented_code(text: str) -> bool:
     return bool(lines) and all(_CODE.search(x) for x in lines)
 
 
+def own_lines(text: str, start: int, end: int) -> int | None:
+    """Where the part of a comment begins that shares no line with code; None if there is none.
+
+    A line comment behind code is a comment of its own, the line comments below it are another.
+    """
+    if not text[text.rfind("\n", 0, start) + 1 : start].strip(" \t\r\ufeff"):
+        return start
+    below = text.find("\n", start, end) + 1
+    if text.startswith("/*", start) or not below:
+        return None
+    return below + len(text[below:end]) - len(text[below:end].lstrip(" \t"))
+
+
 class Pairs:
     """Both grammars, compiled once a task."""
 
@@ -111,9 +124,9 @@ class Pairs:
             _, start, end, inner = cap
             name = next(c for c in inner if c[0] == "FuncName")
             if above and line(above[2] - 1) == line(start) - 1:
-                alone = not text[text.rfind("\n", 0, above[1]) + 1 : above[1]].strip(" \t\r﻿")
-                doc = common.without_marks(text[above[1] : above[2]].replace("\r", ""))
-                if alone and not commented_code(doc) and informative(doc, text[name[1] : name[2]]):
+                begin = own_lines(text, above[1], above[2])
+                doc = "" if begin is None else common.without_marks(text[begin : above[2]].replace("\r", ""))
+                if not commented_code(doc) and informative(doc, text[name[1] : name[2]]):
                     yield line(name[1]), text[name[1] : name[2]], start, end, doc.strip()
             above = None
 

@@ -98,3 +98,23 @@ def test_run(spark):
     code = {r.func_name: r.code for r in got.collect()}
     assert code["a"].endswith("x)") and code["alpha"].startswith("i32 alpha")
     assert D.documented_functions(f.limit(0), with_code=False).columns == ["file_id", "line_no", "func_name"]
+
+
+def test_comment_behind_code():
+    text = """service S { // This one stands behind the brace.
+  // Opens the first of them.
+  void alpha(), // This one is behind the code.
+  // Reads all of the options
+    # and gives them back.
+  string beta(), # One more behind the code.
+  void gamma(), /* A block behind the code here. */
+  void delta(), /* A block behind the code here. */
+  // Closes the last of them.
+  void eps(), // This one is behind the code.
+  // i32 old(1: i32 a),
+  void zeta()
+}
+"""
+    for t in (text, text.replace("\n", "\r\n")):
+        got = {name: doc for _, name, _, _, doc in D.Pairs().of(t, "thrift")}
+        assert got == {"alpha": "Opens the first of them.", "beta": "Reads all of the options\nand gives them back.", "eps": "Closes the last of them."}
