@@ -280,14 +280,19 @@ def regex_multiline_extract(s, d):
     return names.select("file_id", F.explode("names").alias("name"), F.lit("n").alias("kind"))
 
 
-def extracted(s: SparkSession, d: str, *ext: str) -> DataFrame:
-    """Entries of every readable row; rows of repeated reads are made one afterwards, so no text is shuffled."""
+def _lang(*ext: str) -> Column:
+    """The language of a source file by the ending of its path; null for endings other than ``ext``, if given."""
     by = {".proto": "Protobuf", ".thrift": "Thrift", ".xsl": "XSLT", ".el": "EmacsLisp", ".pm": "Perl", ".c": "C", ".h": "C"}
     lang = F.lit(None).cast("string")
     for e, n in by.items():
         if not ext or e in ext:
             lang = F.when(F.col("path").endswith(e), F.lit(n)).otherwise(lang)
-    f = t(s, d, "files").where("contents IS NOT NULL").select("file_id", "path", "contents", lang.alias("lang")).where("lang IS NOT NULL")
+    return lang
+
+
+def extracted(s: SparkSession, d: str, *ext: str) -> DataFrame:
+    """Entries of every readable row; rows of repeated reads are made one afterwards, so no text is shuffled."""
+    f = t(s, d, "files").where("contents IS NOT NULL").select("file_id", "path", "contents", _lang(*ext).alias("lang")).where("lang IS NOT NULL")
     return extract_entries(spread(f), REGISTRY).dropDuplicates(["file_id", "entry_id"])
 
 
@@ -473,10 +478,10 @@ def stream_index(s, d):
     at = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
     schema = t(s, d, "files").schema
     stream = s.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/files.parquet*")
-    files = stream.where("contents IS NOT NULL").select("path", "contents", F.when(F.col("path").endswith(".proto"), "Protobuf").when(F.col("path").endswith(".thrift"), "Thrift").alias("lang"), F.col("ingested_at").alias("seq")).where("lang IS NOT NULL")
-    indexer = StreamIndexer(s, REGISTRY, at + "/index")
+    files = stream.where("contents IS NOT NULL").select("file_id", "path", "contents", _lang().alias("lang"), F.col("ingested_at").alias("seq")).where("lang IS NOT NULL")
+    indexer = StreamIndexer(s, REGISTRY, at + "/index", key="file_id")
     indexer.start(files, at + "/state").awaitTermination()
-    return indexer.entries().select("path", "name", "kind", "line")
+    return indexer.entries().select("file_id", "path", "name", "kind", "line")
 
 
 @query()

@@ -1,8 +1,8 @@
 """Indexing as files arrive: one micro-batch a trigger, state of a file only, the index updated in place.
 
-Each batch extracts its files and replaces the rows of the same paths in a table partitioned by a hash of
-the path, so that an update rewrites the touched partitions alone. A batch that is run again gives the
-same table.
+Each batch extracts its files and replaces the rows of the same files in a table partitioned by a hash of
+their key (the path, or the file id where paths repeat across repos), so that an update rewrites the
+touched partitions alone. A batch that is run again gives the same table.
 """
 
 from __future__ import annotations
@@ -22,16 +22,20 @@ def part_of(path="path"):
 
 
 class StreamIndexer:
-    def __init__(self, spark: SparkSession, registry: Registry, table: str) -> None:
-        self.spark, self.registry, self.table = spark, registry, table
+    def __init__(self, spark: SparkSession, registry: Registry, table: str, key: str = "path") -> None:
+        """``key``: the column that tells files apart, ``path`` or ``file_id``."""
+        self.spark, self.registry, self.table, self.key = spark, registry, table, key
 
     def entries(self) -> DataFrame:
         return self.spark.read.parquet(self.table)
 
     def update(self, files: DataFrame, batch_id: int = 0) -> None:
-        """``files(path, contents, lang, seq)``: of several reads of one path the last by ``seq`` counts."""
-        last = files.groupBy("path").agg(F.max_by(F.struct("contents", "lang"), "seq").alias("x")).select("path", "x.contents", "x.lang").withColumn("file_id", F.xxhash64("path"))
-        new = extract_entries(last, self.registry).withColumn("part", part_of())
+        """``files(path, contents, lang, seq)`` and the key: of several reads of one file the last by ``seq`` counts."""
+        key = self.key
+        last = files.groupBy(key).agg(F.max_by(F.struct(*(c for c in ("path", "contents", "lang") if c != key)), "seq").alias("x")).select(key, "x.*")
+        if key == "path":
+            last = last.withColumn("file_id", F.xxhash64("path"))
+        new = extract_entries(last, self.registry).withColumn("part", part_of(key))
         try:
             old = self.entries()
         except Exception:  # the first batch
@@ -42,9 +46,9 @@ class StreamIndexer:
 
         if old is not None:
             # Only the partitions of the batch are read, and they are written from a copy, not from themselves.
-            touched = last.select(part_of().alias("part")).distinct()
+            touched = last.select(part_of(key).alias("part")).distinct()
             parts = [r[0] for r in touched.collect()]  # at most PARTS numbers
-            kept = old.where(F.col("part").isin(parts)).join(last.select("path"), "path", "left_anti")
+            kept = old.where(F.col("part").isin(parts)).join(last.select(key), key, "left_anti")
             new = materialize(kept.unionByName(new.select(*kept.columns)), "stream-index")
         try:
             spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")

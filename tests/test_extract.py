@@ -226,3 +226,25 @@ def test_filters_and_counts(spark):
     f = spark.createDataFrame([("A", 3), (None, 2)], "lang string, bytes int")
     assert sorted((r.lang or "", r.files, r.bytes, r.tags) for r in stats.language_counts(f, spark.createDataFrame([("B",), (None,)], "lang string")).collect()) == [("", 1, 2, 1), ("A", 1, 3, 0), ("B", 0, 0, 1)]
     assert any(r.startswith("!_TAG_KIND_DESCRIPTION!Tiny\ts,section") for r in stats.description_rows(o.registry.get("Tiny")))
+
+
+def test_stream_keeps_files_of_one_path_apart(spark, tmp_path):
+    from symloom.streaming.ingest import StreamIndexer
+
+    schema = "file_id long, path string, contents string, lang string, seq int"
+    ix = StreamIndexer(spark, REGISTRY, str(tmp_path / "index"), key="file_id")
+    ix.update(spark.createDataFrame([(1, "x.py", "def a():\n  pass\n", "Python", 1), (2, "x.py", "def b():\n  pass\n", "Python", 2)], schema))
+    assert {(r.file_id, r.name) for r in ix.entries().collect()} == {(1, "a"), (2, "b")}
+    ix.update(spark.createDataFrame([(2, "x.py", "def c():\n  pass\n", "Python", 3)], schema))
+    assert {(r.file_id, r.name) for r in ix.entries().collect()} == {(1, "a"), (2, "c")}
+
+
+def test_stream_index_has_all_source_files(spark, tmp_path):
+    from symloom.plans.queries import extracted, stream_index
+
+    texts = {".proto": "package a.b;\n", ".thrift": "struct T {\n}\n", ".xsl": '<xsl:template name="n">\n</xsl:template>\n', ".el": "(defun f (x)\n  x)\n", ".pm": "package P;\nsub g {\n}\n", ".c": "int m (void)\n{\n  return 0;\n}\n", ".h": "#define H 1\n"}
+    rows = [(i, f"src/input{e}", c, i) for i, (e, c) in enumerate(texts.items())] + [(10, "src/input.c", "int k (void)\n{\n  return 0;\n}\n", 1), (10, "src/input.c", None, 2)]
+    spark.createDataFrame(rows, "file_id long, path string, contents string, ingested_at long").coalesce(1).write.parquet(str(tmp_path / "files.parquet"))
+    got = sorted((r.file_id, r.name) for r in stream_index(spark, str(tmp_path)).collect())
+    assert got == sorted((r.file_id, r.name) for r in extracted(spark, str(tmp_path)).collect())
+    assert {i for i, _ in got} == {*range(7), 10}
