@@ -217,7 +217,7 @@ query(_LINES_SQL, "scan_lines")(lambda s, d: lines_of(t(s, d, "documents"), "tex
 
 @query(f"SELECT doc_id, line_no, CASE WHEN octet_length(encode(line)) <= 96 THEN '/^' || replace(replace(CASE WHEN suffix(line, '$') THEN left(line, length(line) - 1) ELSE line END, '\\', '\\\\'), '/', '\\/') || CASE WHEN suffix(line, '$') THEN '\\$' ELSE '' END || '$/' END AS pattern FROM ({_LINES_SQL}) WHERE octet_length(encode(line)) <= 96")
 def pattern_column(s, d):
-    """The search pattern of every line that is not cut."""
+    """The search pattern of every line that is not cut, as far as SQL can tell; ``pattern_column_all`` has all lines."""
     return lines_of(t(s, d, "documents"), "text", "doc_id").where(F.octet_length("line") <= 96).select("doc_id", "line_no", writers.pattern_of(F.col("line")).alias("pattern"))
 
 
@@ -240,6 +240,26 @@ def compact_line(s, d):
     return lines.select("doc_id", "line_no", writers.compact(F.col("line")).alias("compact"))
 
 
+@query()
+def pattern_column_all(s, d):
+    """The search pattern of every line, long ones cut at a character border; without SQL, which cannot cut so."""
+    return lines_of(t(s, d, "documents"), "text", "doc_id").select("doc_id", "line_no", writers.pattern_of(F.col("line")).alias("pattern"))
+
+
+@query()
+def sort_foldcase_all(s, d):
+    """All distinct lines by their upper-case form; only ASCII letters fold, so SQL's ``upper`` differs."""
+    from symloom.functions.dsl import ascii_upper
+
+    return ranked(lines_of(t(s, d, "documents"), "text", "doc_id").select("line").distinct(), [ascii_upper(F.col("line")), F.col("line")])
+
+
+@query()
+def compact_line_all(s, d):
+    """All lines with runs of ASCII white space as one blank; other blanks stay."""
+    return lines_of(t(s, d, "documents"), "text", "doc_id").select("doc_id", "line_no", writers.compact(F.col("line")).alias("compact"))
+
+
 # --- extraction ---------------------------------------------------------------------------------------
 
 _HEADS = [Rule(r"^Version ([0-9.]+)", r"\1", "version"), Rule(r"^#+ (.*)$", r"\1", "heading"), Rule(r"^- ([A-Z]\w+)", r"\1", "item")]
