@@ -132,9 +132,13 @@ def test_honest(text):
 def test_repetition():
     import numpy as np
 
-    rate, peak = S.again(np.array([0, 1, 0, 1, 0, 1, 0, 1, 0, 1, 0, 1]))
-    assert rate > 0.8 and peak == 1.0
-    assert S.again(np.arange(100)) == (0.0, 0.0) and S.again(np.arange(2)) == (0.0, 0.0)
+    near, again, regular = S.gaps(np.array([0, 1, 0, 1, 0, 1, 0, 1, 0, 1, 0, 1]))
+    assert near > 0.8 and again > 0.8 and regular == 1.0
+    assert S.gaps(np.arange(100)) == (0.0, 0.0, 0.0) and S.peak(np.arange(100)) <= 0 and S.peak(np.arange(2)) == 0
+    # Terms strewn at random come again at irregular gaps, stuffed ones at regular ones.
+    rng = np.random.default_rng(1)
+    assert S.gaps(rng.integers(0, 200, 400))[2] < 0.3 and not S.soon(rng.integers(0, 200, 400))
+    assert S.soon(np.array([0, 1, 2, 0, 1, 3, 0, 1, 4, 0, 1, 5, 6, 0, 1, 7]))
 
 
 def test_pages(spark):
@@ -145,7 +149,7 @@ def test_pages(spark):
     assert S.spam_pages(d.limit(0)).count() == 0
 
 
-# Words that neither sell nor come from the lists of this module.
+# Words that come from no list of this module.
 NOUNS = "kettle toaster mixer blender grill freezer cooker heater fan lamp shelf table drawer carpet mirror vase pillow blanket mattress curtain ladder hammer drill wrench bucket hose shovel rake barrow fence".split()
 LISTS = [
     ", ".join(NOUNS),
@@ -159,8 +163,8 @@ WRAPPED = "Сначала входной буфер считает ключ\nс
 
 
 @pytest.mark.parametrize("text", LISTS)
-def test_lists_without_selling_words(text):
-    assert not any(w in S.SELLING for w in NOUNS)
+def test_lists_of_any_words(text):
+    assert not hasattr(S, "SELLING") and not any(w in S.FUNCTION for w in NOUNS)
     assert S.is_spam(text) and S.is_spam("Some title\n\n" + text + "\n\n" + PROSE)
 
 
@@ -176,5 +180,24 @@ def test_whole_page_repetition():
         ids = rng.integers(0, k, n)
         got = S.autocorrelation(ids)
         assert all(got[lag] == (ids[lag:] == ids[:-lag]).sum() for lag in range(1, n))
-    rate, peak = S.again(np.tile(np.arange(40), 3))
-    assert rate > 0.6 and peak == 1.0
+    ids = np.tile(np.arange(40), 3)
+    assert S.gaps(ids)[1] > 0.6 and S.peak(ids) > 0.3 and S.in_turn(ids) and not S.soon(ids)
+
+
+#: Stuffed sentences, short lists and hosts whose words and endings no list holds.
+OTHER = [
+    "Kettle lamp with kettle lamp grand kettle lamp. Kettle lamp and mirror drill kettle lamp. Grand mirror drill is kettle lamp mirror drill! " * 3,
+    "kettle lamp | mirror | grand drill | rake lamp | mirror hose | vase | grand fence | grand lamp | drill | hose mirror | vase drill",
+    "\n".join(f"Kettle Lamp {i} - shop{i}.garden/{i}" for i in range(12)),
+    "how to rake for lamp / how to rake for vase / how to rake for lamp / how to drill for lamp / how to rake for hose / how to rake for lamp / how to drill for vase",
+    "my_option " + "kettle lamp grand kettle lamp mirror kettle lamp " * 20,
+]
+
+
+@pytest.mark.parametrize("text", OTHER)
+def test_no_list_is_needed(text):
+    assert S.is_spam(text) and S.is_spam("Some title\n\n" + text + "\n\n" + PROSE)
+
+
+def test_file_names_are_no_hosts():
+    assert not S.is_spam("\n".join(f"src{i}.c, parser{i}.py" for i in range(20)))
