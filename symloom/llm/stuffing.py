@@ -32,9 +32,11 @@ WINDOW = 3
 #: Least terms of a stretch that is judged, least items of a list, and its share of function words at most.
 LEAST, ITEMS, FEW = 8, 6, 0.2
 #: Terms from which words with few function words are a list, though nothing separates its items.
-LONG = 24
+LONG = 20
 #: Most words of a sentence; what runs on for longer is none.
 LONGEST = 60
+#: A line of so many characters that no stop ends may go on in the next.
+WRAP = 48
 #: Stands for an empty line in a stretch.
 _BREAK = "\0"
 
@@ -62,6 +64,7 @@ _HOST = re.compile(r"\.[A-Za-z]")
 _TAG = re.compile(r"#[^\W_]\w*|\b[A-Z][A-Z ]*\b[A-Z]{2,5}-\d+|\b[A-Z]{2,5}-\d+|(?:[a-z]+ ){0,3}[$€£¥]\d+(?:\.\d\d)?|\b(?:[a-z]{1,12} )?[a-z]{1,40}\d{0,9}(?:-[a-z]{1,40}){1,9}\b")
 _SOLD = re.compile(r"#\w|\b[A-Z]{2,5}-\d{3}|[$€£¥]\d")
 _DATE = re.compile(r"\d{4}-\d\d-\d\d")
+_BULLET = re.compile(r"^(?:[>*•-] )+")
 _CELLS = re.compile(r"\t| {2,}")
 #: Characters of the cells of a table on the average, and of a row of another form, at most.
 CELL, ROW = 60, 400
@@ -187,7 +190,7 @@ class Stretch:
         if soon(ids):
             return self.size
         # Sentences may be wrapped over the lines of a paragraph.
-        paragraphs = " ".join(p.removeprefix("> ") for p in self.parts).split(_BREAK)
+        paragraphs = " ".join(self.parts).split(_BREAK)
         sentences = [x.strip() for p in paragraphs for x in _STOP.split(p) if x.strip()]
         if sum(len(x) for x in sentences if _sentence(x, _WORD.findall(x.lower()))) * 2 >= self.size:
             return 0
@@ -202,10 +205,11 @@ class Stretch:
 
 
 def _sentence(part: str, w: list[str]) -> bool:
-    """Closed like a sentence, and long enough for one."""
+    """Closed like a sentence, long enough for one, and no row of separated items."""
+    items = len(_SEPARATOR.findall(part))
     if len(_DENSE.findall(part)) > 10:
-        return part[-1] in "。？" or len(_SEPARATOR.findall(part)) * 8 + part.count(" ") * 8 < len(part)
-    return part[-1] in ".?:" and 5 <= len(w) <= LONGEST
+        return (items + part.count(" ")) * 8 < len(part)
+    return part[-1] in ".?:" and 5 <= len(w) <= LONGEST and items * 3 <= len(w)
 
 
 def _prose(part: str, w: list[str]) -> bool:
@@ -258,10 +262,40 @@ def _described(rest: str) -> bool:
     return len(w) >= 5 and (rest.rstrip()[-1:] in ".!?" or sum(x in FUNCTION for x in w) >= 2)
 
 
+def _unwrapped(lines: list[str]) -> list[str]:
+    """Lines of a paragraph that break off within a sentence joined with those that follow."""
+    out: list[str] = []
+    broken = False
+    for x in lines:
+        x = _BULLET.sub("", x, count=1) if x[:1] in ">*•-" else x
+        if broken:
+            out[-1] += " " + x
+        else:
+            out.append(x)
+        broken = len(x) >= WRAP and x[-1] not in ".!?:。！？"
+    return out
+
+
 def spam_share(text: str) -> float:
     """The share of the text's characters that stand in keyword, link or tag stretches."""
     total = spam = 0
     held = Stretch()
+    run: list[str] = []
+
+    def flush() -> None:
+        """The lines of a paragraph go to the stretch; plain prose ends it."""
+        nonlocal spam
+        for s in _unwrapped(run) if run else ():
+            if _plain(_WORD.findall(s.lower())):
+                spam += close()
+                continue
+            for part in filter(None, _STOP.split(s)):
+                w = _WORD.findall(part.lower())
+                if _prose(part, w):
+                    spam += close()
+                elif w:
+                    held.add(part, w)
+        run.clear()
 
     def close() -> int:
         nonlocal held
@@ -272,11 +306,13 @@ def spam_share(text: str) -> float:
     for line in text.split("\n"):
         s = line.strip()
         if not s:
+            flush()
             if held.n:
                 held.parts.append(_BREAK)
             continue
         total += len(s)
         if links := links_of(s):
+            flush()
             spam += close()
             rest = s
             for m in reversed(links):
@@ -289,23 +325,18 @@ def spam_share(text: str) -> float:
             continue
         if ("#" in s or "$" in s or "€" in s or "£" in s or "¥" in s or "-" in s) and _SOLD.search(s):
             if sum(len(m.group()) for m in _TAG.finditer(s)) * 2 >= len(s):
+                flush()
                 spam += close() + len(s)
                 continue
         elif _structured(line, s):
+            flush()
             spam += close()
             continue
         elif "-" in s and _TAG.fullmatch(s):
             spam += len(s)
             continue
-        if _plain(_WORD.findall(s.lower())):
-            spam += close()
-            continue
-        for part in filter(None, _STOP.split(s)):
-            w = _WORD.findall(part.lower())
-            if _prose(part, w):
-                spam += close()
-            elif w:
-                held.add(part, w)
+        run.append(s)
+    flush()
     spam += close()
     return spam / total if total else 0.0
 
