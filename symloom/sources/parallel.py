@@ -11,17 +11,32 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Files of more bytes are never dealt out anew.
+SPREAD_BYTES = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df``, a scan without a shuffle, in at least as many partitions as there are cores.
 
-    A small table may lie in one row group and then keeps one core busy. Only such a table, of fewer splits
-    than cores, is dealt out anew; a large one is read as it lies, without a shuffle.
+    A small table may lie in one row group and then keeps one core busy. Only such a table, of at most
+    ``SPREAD_BYTES`` and fewer splits than cores, is dealt out anew; a large one is read as it lies.
     """
+    plan = df._jdf.queryExecution()
+    if int(plan.optimizedPlan().stats().sizeInBytes()) > SPREAD_BYTES:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().executedPlan().execute().getNumPartitions()
+    splits = plan.executedPlan().execute().getNumPartitions()
     return df.repartition(cores) if splits < cores else df
 
 
+def slices(batches, rows: int = 1000, size: int = 32 << 20):
+    """Arrow batches cut into pieces of bounded rows and bytes, whatever the session's batch size is."""
+    for b in batches:
+        n = max(1, min(rows, b.num_rows * size // max(1, b.nbytes)))
+        for at in range(0, b.num_rows, n):
+            yield b.slice(at, n)
+
+
 _READY: set[str] = set()
 
 
