@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from symloom.sources.parallel import ready, spread
+from symloom.sources.parallel import ready, slices, spread
 
-#: Rows in one Arrow batch. Texts may be long, so a batch is kept small; it bounds a worker's memory.
-BATCH_ROWS = 1000
+#: Rows and bytes of the Arrow batches that come back; long texts make short batches.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+#: A key is hot from so many rows, and from a thousandth of all rows: at most a thousand keys are.
+HOT_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,24 +32,58 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., Iterat
     ready(spark)
     if scan:
         df = spread(df)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     struct = StructType.fromDDL(schema)
     arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for b in batches:
-            out: list[list] = [[] for _ in arrow]
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        out: list[list] = [[] for _ in arrow]
+
+        def batch() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, arrow, strict=True)], schema=arrow)
+            for c in out:
+                c.clear()
+            return made
+
+        size = 0
+        for part in slices(batches):
+            for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 for made in f(*row):
                     for col, v in zip(out, made, strict=True):
                         col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, arrow, strict=True)], schema=arrow)
+                        if type(v) is str:
+                            size += len(v)
+                    if len(out[0]) >= BATCH_ROWS or size > BATCH_BYTES:
+                        yield batch()
+                        size = 0
+        yield batch()
 
     return df.mapInArrow(run, struct)
 
 
+def hot_join(rows: DataFrame, table: DataFrame, key: str, spread_by: str) -> DataFrame:
+    """``rows`` left-joined to ``table``, which has one row a key, so that no key keeps a task busy alone.
+
+    Keys of many rows are measured first; there are at most a thousand of them by the threshold. Such a key is
+    spread over as many join keys as it has times the threshold, by the hash of ``spread_by``; others are not.
+    ``rows`` should be a written table, as it is read twice. Null keys match nothing and are not shuffled for it.
+    """
+    known = rows.where(F.col(key).isNotNull())
+    most = max(HOT_ROWS, known.count() // 1000)
+    hot = known.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_slots")).where("_slots > 1")
+    hot = [tuple(r) for r in hot.collect()]  # at most a thousand rows, see above
+    rest = [c for c in table.columns if c != key]
+    if not hot:
+        return rows.join(table, key, "left")
+    slots = rows.sparkSession.createDataFrame(hot, f"`{key}` {dict(rows.dtypes)[key]}, _slots int")
+    one = F.coalesce("_slots", F.lit(1))
+    left = known.join(F.broadcast(slots), key, "left").withColumn("_slot", F.pmod(F.xxhash64(spread_by), one).cast("int")).drop("_slots")
+    right = table.join(F.broadcast(slots), key, "left").withColumn("_slot", F.explode(F.sequence(F.lit(0), one - 1))).drop("_slots")
+    joined = left.join(right, [key, "_slot"], "left").drop("_slot").select(*rows.columns, *rest)
+    types = dict(table.dtypes)
+    return joined.unionByName(rows.where(F.col(key).isNull()).select(*rows.columns, *[F.lit(None).cast(types[c]).alias(c) for c in rest]))
+
+
 def source_files(spark: SparkSession, sf_dir: str, *suffixes: str) -> DataFrame:
     """Readable rows of ``files`` whose path ends in one of the suffixes (letter case aside).
 

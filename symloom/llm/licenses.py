@@ -21,18 +21,17 @@ from symloom.llm import common
 from symloom.storage import materialize
 
 UNKNOWN, CONFLICT = "UNKNOWN", "CONFLICT"
-#: One block's key is spread over so many join keys: a block may stand in a third of all files.
-SALT = 16
 
-_HOLDER = re.compile(r"^.*(?:copyright\b|©|\(c\)\s*\d).*$", re.I | re.M)
+# A notice of years and holder, up to the end of its sentence or line: masked, what stands beside it stays.
+_HOLDER = re.compile(r"(?:\(c\)\s*)?(?:\bcopyright\b|©|\(c\)\s*\d)(?-i:(?:[^\n.]|\.(?![ \t]+[A-Z]\w* \w))*)(?:\.|$)", re.I | re.M)
 _TAG = re.compile(r"^\s*SPDX-License-Identifier\s*:\s*(.*?)\s*$", re.I | re.M)
 _FIELD = re.compile(r"^\s*(?:License|Licence)\s*:\s*(.*?)\s*$", re.I | re.M)
 _URL = re.compile(r"https?://[^\s<>\"')]+")
 _CUE = re.compile(
-    r"licen[cs]|spdx|under\b|terms|commons|public|claim|clause|rights|confiden|internal use|permi|reuse|used|offered|available|provided|dedicat|source|conditions",
+    r"licen[cs]|spdx|under\b|terms|commons|public|claim|clause|rights|confiden|internal use|permi|reuse|used|offered|available|provided|dedicat|source|conditions|accord|pursuant|subject to",
     re.I,
 )
-_SENTENCE = re.compile(r"(?<=\w\w[.!])\s+(?=[A-Z(<\"])|(?<=\)\.)\s+(?=[A-Z])")
+_SENTENCE = re.compile(r"(?<=[\w)+>\"][\w)+>\"][.!])\s+(?=[A-Z(<\"]|[a-z]+[A-Z])|(?<=[\d)+][.!])\s+(?=[A-Z]|[a-z]+[A-Z])")
 _VERB = re.compile(r"\b(?:licen[sc]ed|released|distributed|offered|available|published|provided|governed|copy (?:this|the)|use (?:this|the)|dedicated|covered|take it|free)\b", re.I)
 _CHOICE = re.compile(r"\bdual|\bchoose between|\bat your (?:choice|option)\b(?!,? any (?:later )?version)|\beither\b.*\bor\b|\bor else\b|\bas you like\b|\bwhichever\b", re.I | re.S)
 _OWN = re.compile(
@@ -41,7 +40,9 @@ _OWN = re.compile(
 )
 _PAST = re.compile(r"\b(?:was|were|used to be|formerly|no longer|labelled|compare|skips)\b", re.I)
 _LATER = re.compile(r"\+|\bor[ -](?:any )?later\b|\bany later\b|\blater versions?\b|\bversion after\b|\bany version\b", re.I)
-_ONLY = re.compile(r"\bonly\b|\bno (?:later|other)\b|\bexact(?:ly)?\b", re.I)
+_ONLY = re.compile(r"\bonly\b|\bno (?:later\b|other version)|\bexact(?:ly)?\b", re.I)
+# What leads from a statement to the name of its licence.
+_UNDER = re.compile(r"\bunder\b|\baccording to\b|\bin accordance with\b|\bpursuant to\b|\bon the terms of\b|\bby the terms of\b|\bsubject to\b", re.I)
 _NUM = {"one": "1", "two": "2", "three": "3"}
 _WORD = re.compile(r"[^\W_]+")
 
@@ -186,8 +187,8 @@ class Book:
             return []
         if _CHOICE.search(s) and len(got := self.offered(s)) > 1:
             return [UNKNOWN if UNKNOWN in got else " OR ".join(sorted(got))]
-        if _VERB.search(s) and re.search(r"\bunder\b|\bcommons\b", s, re.I):
-            if name := self.named(re.split(r"\bunder\b", s, maxsplit=1, flags=re.I)[-1]):
+        if _VERB.search(s) and (_UNDER.search(s) or re.search(r"\bcommons\b", s, re.I)):
+            if name := self.named(_UNDER.split(s, maxsplit=1)[-1]):
                 return [name]
             if re.search(r"\bunder (?:its|their|our|special|separate) (?:own )?terms\b", s, re.I):
                 return [UNKNOWN]
@@ -275,8 +276,8 @@ def license_verdicts(files: DataFrame, repos: DataFrame, licenses: DataFrame) ->
     """``subject_kind, subject_id, verdict`` of every file and repository.
 
     Plan: one scan of the sources writes (file, repo, core) rows, a small table; cores are made distinct
-    with map-side combining; labels come back through a salted join, so one block that stands in a third
-    of all files is spread over ``SALT`` tasks; what a file states is a set of a few labels.
+    with map-side combining; labels come back through a join that spreads measured hot blocks, and so do the
+    repositories' verdicts; what a file states is a set of a few labels.
     """
     rows = book_rows(licenses)
 
@@ -300,9 +301,8 @@ def license_verdicts(files: DataFrame, repos: DataFrame, licenses: DataFrame) ->
         return f
 
     distinct = found.where("core is not null").groupBy("core_id").agg(F.any_value("core").alias("core"))
-    labels = common.map_rows(distinct.select("core_id", "core"), "core_id binary, stated array<string>", identify)
-    labels = labels.where(F.size("stated") > 0).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    joined = found.select("file_id", "repo_id", "core_id", F.pmod(F.xxhash64("file_id"), F.lit(SALT)).cast("int").alias("salt")).join(labels, ["core_id", "salt"], "left")
+    labels = materialize(common.map_rows(distinct.select("core_id", "core"), "core_id binary, stated array<string>", identify), "license-labels")
+    joined = common.hot_join(found.select("file_id", "repo_id", "core_id"), labels.where(F.size("stated") > 0), "core_id", "file_id")
     per_file = joined.groupBy("file_id").agg(F.min("repo_id").alias("repo_id"), F.array_distinct(F.flatten(F.collect_set("stated"))).alias("stated"))
 
     def judge():
@@ -311,7 +311,7 @@ def license_verdicts(files: DataFrame, repos: DataFrame, licenses: DataFrame) ->
 
         return f
 
-    own = common.map_rows(per_file, "file_id long, repo_id int, verdict string", judge)
+    own = materialize(common.map_rows(per_file, "file_id long, repo_id int, verdict string", judge), "license-files")
 
     def judge_repo():
         book = Book(rows)
@@ -323,6 +323,9 @@ def license_verdicts(files: DataFrame, repos: DataFrame, licenses: DataFrame) ->
 
     of_repo = common.map_rows(repos.where("repo_id is not null").select("repo_id", "license_text", "declared_license"), "repo_id int, verdict string", judge_repo)
     of_repo = of_repo.groupBy("repo_id").agg(F.min("verdict").alias("repo_verdict"))
-    by_file = own.join(of_repo, "repo_id", "left").select(F.lit("file").alias("subject_kind"), F.col("file_id").alias("subject_id"), F.coalesce("verdict", "repo_verdict", F.lit(UNKNOWN)).alias("verdict"))
+    # Only files that state nothing take their repository's verdict.
+    taken = common.hot_join(own.where("verdict is null").drop("verdict"), of_repo, "repo_id", "file_id").select("file_id", F.col("repo_verdict").alias("verdict"))
+    by_file = own.where("verdict is not null").select("file_id", "verdict").unionByName(taken)
+    by_file = by_file.select(F.lit("file").alias("subject_kind"), F.col("file_id").alias("subject_id"), F.coalesce("verdict", F.lit(UNKNOWN)).alias("verdict"))
     by_repo = of_repo.select(F.lit("repo").alias("subject_kind"), F.col("repo_id").cast("long").alias("subject_id"), F.col("repo_verdict").alias("verdict"))
     return by_file.unionByName(by_repo)

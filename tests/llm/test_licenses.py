@@ -38,6 +38,13 @@ def book():
         ("// The importer skips every record whose tag is BBB-2.\n", []),
         ("// This file is covered by the same license as the rest of the repository.\n", []),
         ("// Copyright (c) 2020 The Cedar License Authors\n", []),
+        ("// Copyright (c) 2020 Foo Authors. Licensed under BBB-2.\n", ["BBB-2"]),
+        ("// Licensed under BBB-2. Copyright 2019, 2020 Foo Inc.\n", ["BBB-2"]),
+        ("// Distributed according to BBB-2.\n", ["BBB-2"]),
+        ("// Released under AAAv1+; no other terms apply.\n", ["AAA-1.0-or-later"]),
+        ("// Licensed under AAA1+. The filter hides the name only if the caller asks.\n", ["AAA-1.0-or-later"]),
+        ("// All rights reserved. Use is subject to the agreement signed with the vendor.\n", ["UNKNOWN"]),
+        ("// Licensed under birch-2. someName may be studied, sold and folded into other works by anyone who keeps this paragraph with it.\n", ["BBB-2", "CCC-1.0"]),
         ("// This file is confidential and may not be handed to third parties.\n", ["UNKNOWN"]),
         ('string x = "SPDX-License-Identifier: BBB-2";\n', []),
         ("", []),
@@ -79,6 +86,20 @@ def test_one_block_in_most_files(spark):
     assert got.where("verdict = 'CCC-1.0'").count() == 300
 
 
+@pytest.mark.parametrize("hot", [10, 10**6])
+def test_hot_keys_are_spread(spark, monkeypatch, hot):
+    from symloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    rows = spark.createDataFrame([(i, "a" if i % 3 == 0 else "b" if i % 3 == 1 and i < 40 else None if i % 5 == 0 else f"k{i}") for i in range(300)], "id long, k string")
+    table = spark.createDataFrame([("a", 1), ("b", 2), ("k8", 3), ("unused", 4)], "k string, v int")
+    got = common.hot_join(rows, table, "k", "id")
+    assert got.columns == ["id", "k", "v"] or set(got.columns) == {"id", "k", "v"}
+    want = sorted((r.id, {"a": 1, "b": 2, "k8": 3}.get(r.k)) for r in rows.collect())
+    assert sorted((r.id, r.v) for r in got.collect()) == want
+    assert common.hot_join(rows.limit(0), table, "k", "id").count() == 0
+
+
 def test_package_stands_alone():
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     for base, _, names in os.walk(os.path.join(root, "symloom")):
