@@ -28,7 +28,7 @@ _TAG = re.compile(r"^\s*SPDX-License-Identifier\s*:\s*(.*?)\s*$", re.I | re.M)
 _FIELD = re.compile(r"^\s*(?:License|Licence)\s*:\s*(.*?)\s*$", re.I | re.M)
 _URL = re.compile(r"https?://[^\s<>\"')]+")
 _CUE = re.compile(
-    r"licen[cs]|spdx|under\b|terms|commons|public|claim|clause|rights|confiden|internal use|permi|reuse|used|offered|available|provided|dedicat|source|conditions|accord|pursuant|subject to",
+    r"licen[cs]|spdx|under\b|terms|commons|public|claim|clause|rights|confiden|internal use|permi|reuse|used|offered|available|provided|dedicat|source|conditions|accord|pursuant|subject to|\bmay (?:be|not|pass)\b",
     re.I,
 )
 _SENTENCE = re.compile(r"(?<=[\w)+>\"][\w)+>\"][.!])\s+(?=[A-Z(<\"]|[a-z]+[A-Z])|(?<=[\d)+][.!])\s+(?=[A-Z]|[a-z]+[A-Z])")
