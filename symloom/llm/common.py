@@ -17,6 +17,7 @@ from symloom.sources.parallel import ready, slices, spread
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: A key is hot from so many rows, and from a thousandth of all rows: at most a thousand keys are.
 HOT_ROWS = 100_000
+_HASH_RANGE = 1 << 62
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +85,22 @@ def hot_join(rows: DataFrame, table: DataFrame, key: str, spread_by: str) -> Dat
     return joined.unionByName(rows.where(F.col(key).isNull()).select(*rows.columns, *[F.lit(None).cast(types[c]).alias(c) for c in rest]))
 
 
+def sampled(rows: DataFrame, label: str, key: str, text: str, size: int, chars: int | None = None, least: int = 0) -> list[tuple[str, str]]:
+    """About ``size`` texts of each label: those whose hash of ``key`` is least, by a share of the label's rows.
+
+    The hash has 62 bits, so the share is exact for any number of rows and never sinks to nothing. Rows are
+    counted without reading a text. ``chars`` bounds what is read of a text, ``least`` leaves shorter ones out.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}  # one row a label
+    counts = {k: n for k, n in counts.items() if k is not None}
+    if not counts:
+        return []
+    bound = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(_HASH_RANGE * size // max(n, size)).cast("long"))])
+    mine = F.pmod(F.xxhash64(key), F.lit(_HASH_RANGE)) < F.element_at(bound, F.col(label))
+    taken = rows.where(F.col(text).isNotNull() & (F.length(text) > least) & mine)
+    return [tuple(r) for r in taken.select(label, F.substring(text, 1, chars) if chars else F.col(text)).collect()]
+
+
 def source_files(spark: SparkSession, sf_dir: str, *suffixes: str) -> DataFrame:
     """Readable rows of ``files`` whose path ends in one of the suffixes (letter case aside).
 

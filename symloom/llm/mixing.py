@@ -1,7 +1,8 @@
 """Problem 7: mixing sources to target weights.
 
-Method: soft membership. A classifier fitted on a bounded, labelled sample (``SAMPLE_DOCS`` texts a source)
-gives rows without a source posteriors over the sources; a row with a source is that source. Distributed
+Method: soft membership. A classifier fitted on a bounded, labelled sample (about ``SAMPLE_DOCS`` texts a
+source) gives rows without a source posteriors over the sources; a row with a source is that source. A part
+of the sample is held out first: on it the posteriors are calibrated and the accuracy is measured. Distributed
 projected-gradient least squares then fits a nonnegative rate for each document, at most its source's
 number of uses, whose expected tokens by source match the targets. Documents with the same posterior have
 the same rate at every step, so a step is one small aggregation over groups of equal posterior.
@@ -16,6 +17,7 @@ source without rows stays at zero and the others are mixed for the largest total
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -26,53 +28,91 @@ from symloom.llm import common
 from symloom.llm.tokens import RANKS, count_tokens, encoding
 from symloom.storage import materialize
 
-SAMPLE_DOCS, TERMS = 200, 100
+SAMPLE_DOCS, TERMS = 400, 1500
+#: One text of the sample in so many is held out for calibration.
+HELD_OUT = 4
 #: Posteriors are kept in steps of one part in so many.
 GRID = 20
-STEPS, NEAR = 40, 2e-4
+#: The fit ends when it is this near to the targets or no longer moves; more steps than this is an error.
+STEPS, NEAR = 400, 2e-4
 BINS = 1 << 16
-_TERM = re.compile(r"^[^\w\s]*\w*|[^\W\d_]+", re.M)
+_LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 
 
 def terms(text: str) -> set[str]:
-    """Words of a text, and how its lines begin."""
-    return set(_TERM.findall(text.lower()))
+    """How the lines of a text begin, end and are set, and how long they are: what tells one kind of page from another."""
+    found: set[str] = set()
+    lines = text.split("\n")
+    longest = filled = 0
+    for i, line in enumerate(lines):
+        s = line.strip()
+        if not s:
+            found.add("empty")
+            continue
+        filled += 1
+        longest = max(longest, len(line))
+        head = _DIGITS.sub("0", s.split(" ", 1)[0])
+        shape = _LETTERS.sub(lambda m: "A" if m.group().isupper() else "Aa" if m.group()[0].isupper() else "a", head)
+        found |= {"word:" + head[:40], "shape:" + shape[:40], "end:" + ("a" if s[-1].isalnum() else s[-1])}
+        if line[0] == " ":
+            found.add("indented")
+        if i == 0:
+            found |= {"first:" + head[:40], "first shape:" + shape[:40], f"first words:{min(6, len(s.split()))}"}
+    return found | {f"size:{len(text).bit_length()}", f"longest:{longest.bit_length()}", f"lines:{filled.bit_length()}"}
 
 
 class Classifier:
-    """Naive Bayes over the presence of the ``TERMS`` terms that tell most about the source."""
+    """Multinomial logistic regression over the presence of terms, with a calibrated temperature.
+
+    ``accuracy`` and ``confidence`` (mean of the highest posterior) are those on the held-out part of the sample.
+    """
 
     def __init__(self, rows: list[tuple[str, str]]) -> None:
+        rows = sorted(rows, key=lambda r: zlib.crc32(r[1].encode("utf-8", "replace")))
         self.labels = sorted({s for s, _ in rows})
+        self.temperature, self.accuracy, self.confidence = 1.0, None, None
         if not rows:  # nothing is known: no row without a source is placed
             return
-        n = Counter(s for s, _ in rows)
-        size = np.array([n[s] for s in self.labels], float)
         at = {s: i for i, s in enumerate(self.labels)}
-        held: dict[str, np.ndarray] = {}
-        for s, t in rows:
-            for x in terms(t):
-                if x not in held:
-                    held[x] = np.zeros(len(self.labels))
-                held[x][at[s]] += 1
-        share = size / max(1.0, size.sum())
-
-        def gain(v: np.ndarray) -> float:
-            p, q = (v + 0.1) / (size + 0.2), v.sum() / size.sum()
-            return float((share * (p * np.log(p / q) + (1 - p) * np.log((1 - p) / max(1e-9, 1 - q)))).sum())
-
-        best = sorted((x for x, v in held.items() if v.sum() >= 5), key=lambda x: (-gain(held[x]), x))[:TERMS]
+        y = np.array([at[s] for s, _ in rows])
+        held = [terms(t) for _, t in rows]
+        count = Counter(x for f in held for x in f)
+        best = sorted((x for x, n in count.items() if n >= 3), key=lambda x: (-count[x], x))[:TERMS]
         self.index = {x: i for i, x in enumerate(best)}
-        p = (np.array([held[x] for x in best]).reshape(-1, len(self.labels)) + 0.5) / (size + 1.0)
-        # Rows without a source come from any: no prior but the sources' own sizes in the sample.
-        self.absent = np.log(1 - p).sum(0) + np.log(share)
-        self.present = np.log(p) - np.log(1 - p)
+        x = np.zeros((len(rows), len(best) + 1), np.float32)
+        x[:, -1] = 1
+        for i, f in enumerate(held):
+            x[i, [k for t in f if (k := self.index.get(t)) is not None]] = 1
+        out = np.arange(len(rows)) % HELD_OUT == 0
+        if out.sum() >= 10 * len(self.labels):
+            self.weights = self._fit(x[~out], y[~out])
+            score, true = x[out] @ self.weights, y[out]
+            loss = lambda t: -np.log(_softmax(score / t)[np.arange(len(true)), true] + 1e-12).mean()
+            self.temperature = min((0.5 * 1.1**k for k in range(25)), key=loss)
+            p = _softmax(score / self.temperature)
+            self.accuracy, self.confidence = float((p.argmax(1) == true).mean()), float(p.max(1).mean())
+        self.weights = self._fit(x, y)
+
+    def _fit(self, x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.05, ridge: float = 1e-3) -> np.ndarray:
+        """Gradient descent with moments; labels weigh by their rows, so they are the prior."""
+        w = np.zeros((x.shape[1], len(self.labels)), np.float32)
+        want = np.eye(len(self.labels), dtype=np.float32)[y]
+        m, v = np.zeros_like(w), np.zeros_like(w)
+        for k in range(1, steps + 1):
+            g = x.T @ (_softmax(x @ w) - want) / len(x) + ridge * w
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            w -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+        return w
 
     def posterior(self, text: str) -> np.ndarray:
         known = [i for x in terms(text) if (i := self.index.get(x)) is not None]
-        score = self.absent + self.present[known].sum(0)
-        e = np.exp(score - score.max())
-        return e / e.sum()
+        score = self.weights[known].sum(0) + self.weights[-1]
+        return _softmax(score[None, :] / self.temperature)[0]
+
+
+def _softmax(score: np.ndarray) -> np.ndarray:
+    e = np.exp(score - score.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
 
 
 def _source() -> Column:
@@ -80,14 +120,9 @@ def _source() -> Column:
 
 
 def fit_classifier(documents: DataFrame, labels: list[str]) -> Classifier:
-    """Fitted on at most about ``SAMPLE_DOCS`` texts a source; which ones hangs on a hash of the id alone."""
-    rows = documents.withColumn("s", _source()).where(F.col("s").isin(labels))  # counted without reading a text
-    n = {r[0]: r[1] for r in rows.groupBy("s").count().collect()}
-    if not n:
-        return Classifier([])
-    share = F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(int(1e6 * min(1.0, SAMPLE_DOCS / v))))])
-    sample = rows.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(share, F.col("s"))))
-    return Classifier([tuple(r) for r in sample.select("s", F.substring("text", 1, 20_000)).collect()])
+    """Fitted on about ``SAMPLE_DOCS`` whole texts a source; which ones hangs on a hash of the id alone."""
+    rows = documents.withColumn("s", _source()).where(F.col("s").isin(labels))
+    return Classifier(common.sampled(rows, "s", "doc_id", "text", SAMPLE_DOCS))
 
 
 class Mix:
@@ -98,7 +133,7 @@ class Mix:
         goals = sorted((r[0], float(r[1]), int(r[2])) for r in targets.where("mix_source is not null").select(F.lower(F.trim("mix_source")), "target_share", "max_repeats").collect())
         self.labels = labels = [g[0] for g in goals]
         share, caps = np.array([g[1] for g in goals]), np.array([float(g[2]) for g in goals])
-        model = fit_classifier(documents, labels)
+        model = self.model = fit_classifier(documents, labels)
         column = [model.labels.index(x) if x in model.labels else -1 for x in labels]
 
         def make():
@@ -136,10 +171,12 @@ class Mix:
         state = groups.select("grid", "tokens", top.alias("top")).withColumn("rate", F.least(F.col("top"), F.lit(1.0)))
         moves: list[np.ndarray] = []
         last = np.full(n, np.inf)
-        for k in range(STEPS):
+        for k in range(STEPS + 1):
             got = state.agg(*[F.sum(part(i) * F.col("tokens") * F.col("rate")) for i in range(n)]).first() if n else []
             miss = np.array([x or 0.0 for x in got]) - goal
             # Near enough, or at the bounds: a further step changes nothing that counts.
+            if k == STEPS:
+                raise RuntimeError(f"the rates did not settle in {STEPS} steps; misses: {miss.tolist()}")
             if not n or min(np.abs(miss).max(), np.abs(miss - last).max()) <= NEAR * max(1.0, self.total):
                 break
             last = miss
@@ -155,8 +192,13 @@ class Mix:
 
     def chosen(self) -> DataFrame:
         """``doc_id, mix_source, tokens, repeats``: the rows used at least once."""
+        return self._used().drop("grid")
+
+    def _used(self) -> DataFrame:
         u = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(BINS))
-        rows = self.docs.join(self.rates, "grid").select("doc_id", "mix_source", "tokens", "grid", "rate", u.alias("u"))
+        # Nine posteriors hold nearly all rows: they are spread.
+        rows = common.hot_join(self.docs, self.rates, "grid", "doc_id").select("doc_id", "mix_source", "tokens", "grid", "rate", u.alias("u"))
+        rows = materialize(rows, "mix-rows")
         frac = F.col("rate") - F.floor("rate")
         # The tokens under each hash bin, for every group: at most BINS rows a group, whatever its size.
         bins = rows.groupBy("grid", F.col("u").cast("int").alias("bin")).agg(F.sum("tokens").alias("t"), F.first("rate").alias("rate"))
@@ -165,24 +207,36 @@ class Mix:
         w = Window.partitionBy("grid")
         run = bins.select("grid", "bin", "rate", "t", F.sum("t").over(w.orderBy("bin")).alias("upto"), F.sum("t").over(w).alias("all"))
         goal = (F.col("rate") - F.floor("rate")) * F.col("all")
-        # The bin in which the wanted tokens end counts if more than half of it is wanted.
-        cut = run.where(F.col("upto") - F.col("t") / 2 <= goal).groupBy("grid").agg((F.max("bin") + 1).alias("cut"))
-        extra = F.when((frac > 1e-9) & (F.col("u") < F.col("cut")), 1).otherwise(0)
-        used = rows.join(cut, "grid", "left").select("doc_id", "mix_source", "tokens", (F.floor(F.col("rate") + 1e-9) + extra).cast("int").alias("repeats"))
+        # Bins are taken as long as they fit; of those behind, the ones that fit into the rest come on top.
+        first = run.groupBy("grid").agg(F.max(F.when(F.col("upto") <= goal, F.col("bin") + 1)).alias("cut"), F.max(goal).alias("goal"), F.max(F.when(F.col("upto") <= goal, F.col("upto"))).alias("base"))
+        first = first.select("grid", F.coalesce("cut", F.lit(0)).alias("cut"), (F.col("goal") - F.coalesce("base", F.lit(0))).alias("gap"))
+        more = bins.join(first, "grid").where((F.col("bin") >= F.col("cut")) & (F.col("t") <= F.col("gap")))
+        more = more.withColumn("sum", F.sum("t").over(w.orderBy("bin"))).where("sum <= gap").groupBy("grid").agg(F.collect_list("bin").alias("more"))  # at most BINS numbers
+        cut = materialize(first.join(more, "grid", "left").select("grid", "cut", "more"), "mix-cuts")
+        extra = F.when((frac > 1e-9) & ((F.col("u") < F.col("cut")) | F.coalesce(F.array_contains("more", F.col("u").cast("int")), F.lit(False))), 1).otherwise(0)
+        used = common.hot_join(rows, cut, "grid", "doc_id").select("doc_id", "mix_source", "tokens", "grid", (F.floor(F.col("rate") + 1e-9) + extra).cast("int").alias("repeats"))
         caps = F.broadcast(self.targets.select("mix_source", "max_repeats"))
-        return used.join(caps, "mix_source").select("doc_id", "mix_source", "tokens", F.least("repeats", "max_repeats").alias("repeats")).where("repeats > 0")
+        return used.join(caps, "mix_source").select("doc_id", "mix_source", "tokens", "grid", F.least("repeats", "max_repeats").alias("repeats")).where("repeats > 0")
 
     def shares(self) -> DataFrame:
-        """Per source: target and real share of the mixed tokens, rows used, most uses of a row."""
-        per = self.chosen().groupBy("mix_source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count(F.lit(1)).alias("rows_used"), F.max("repeats").alias("most_repeats"))
+        """Per source: target and real share of the mixed tokens, rows used, most uses of a row.
+
+        ``actual_share`` counts a row under its likeliest source, ``expected_share`` under each by its posterior.
+        """
+        chosen = self._used()
+        names = self.targets.sparkSession.createDataFrame(list(enumerate(self.labels)), "i int, mix_source string")
+        soft = chosen.select((F.col("tokens") * F.col("repeats")).alias("t"), F.posexplode("grid").alias("i", "g")).where("g > 0")
+        soft = soft.groupBy("i").agg((F.sum(F.col("t") * F.col("g")) / GRID).alias("soft")).join(F.broadcast(names), "i").drop("i")  # one row a source
+        per = chosen.groupBy("mix_source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count(F.lit(1)).alias("rows_used"), F.max("repeats").alias("most_repeats"))
         from pyspark.sql import Window
 
         every = F.sum(F.coalesce("tokens", F.lit(0))).over(Window.partitionBy())  # one row a target source
-        joined = F.broadcast(self.targets).join(per, "mix_source", "left")
+        joined = self.targets.join(per, "mix_source", "left").join(soft, "mix_source", "left")
         return joined.select(
             "mix_source",
             "target_share",
             (F.coalesce("tokens", F.lit(0)) / F.greatest(every, F.lit(1))).alias("actual_share"),
+            (F.coalesce("soft", F.lit(0)) / F.greatest(every, F.lit(1))).alias("expected_share"),
             F.coalesce("tokens", F.lit(0)).alias("tokens"),
             F.coalesce("rows_used", F.lit(0)).alias("rows_used"),
             "max_repeats",

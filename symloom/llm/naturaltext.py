@@ -181,13 +181,7 @@ def sample_texts(documents: DataFrame) -> list[tuple[str, str]]:
 
     Which rows are taken hangs on a hash of their id alone, so it does not change with the partitions.
     """
-    labelled = documents.where(F.col("lang").isin(*LANGUAGES))  # counted without reading a text
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(1e6 * min(1.0, SAMPLE_DOCS / n))))]) if counts else None
-    if share is None:
-        return []
-    taken = labelled.where((F.length("text") > 200) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(share, F.col("lang"))))
-    return [tuple(r) for r in taken.select("lang", F.substring("text", 1, SAMPLE_CHARS)).collect()]
+    return common.sampled(documents.where(F.col("lang").isin(*LANGUAGES)), "lang", "doc_id", "text", SAMPLE_DOCS, SAMPLE_CHARS, 200)
 
 
 def language_shares(files: DataFrame, documents: DataFrame) -> DataFrame:

@@ -100,3 +100,29 @@ def test_classifier():
     assert c.posterior("subject of another mail").argmax() == c.labels.index("a")
     assert np.isclose(c.posterior("").sum(), 1)
     assert mixing.Classifier([]).labels == []
+
+
+def test_sample_is_never_empty(spark):
+    from symloom.llm import common
+
+    rows = spark.createDataFrame([(i, "ab"[i % 2], f"text {i}") for i in range(4000)] + [(None, "a", "x"), (9000, None, "x"), (9001, "a", None)], "id long, s string, text string")
+    got = common.sampled(rows, "s", "id", "text", 100)
+    assert sorted(got) == sorted(common.sampled(rows.repartition(7), "s", "id", "text", 100))
+    for label in "ab":
+        assert 60 < sum(s == label for s, _ in got) < 150
+    # The share of a label's rows is a whole number of parts that does not sink to nothing, however many rows there are.
+    assert all(common._HASH_RANGE * 100 // n > 0 for n in (10**8, 10**12, 10**15))
+    assert common.sampled(rows.limit(0), "s", "id", "text", 100) == []
+
+
+def test_posteriors_are_calibrated():
+    rng = random.Random(4)
+    rows = []
+    for _ in range(900):
+        s = rng.choice("abc")
+        # A fifth of the texts looks like another source's: no classifier can be surer than that.
+        look = s if rng.random() < 0.8 else rng.choice("abc".replace(s, ""))
+        rows.append((s, {"a": "# ", "b": "- ", "c": "> "}[look] + f"word {rng.random()}"))
+    c = mixing.Classifier(rows)
+    assert 0.7 < c.accuracy < 0.9 and abs(c.accuracy - c.confidence) < 0.08
+    assert mixing.Classifier(rows).accuracy == c.accuracy
