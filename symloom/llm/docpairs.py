@@ -4,20 +4,19 @@ Method: one packrat parsing-expression grammar a language keeps source offsets;
 captures emit (function, documentation) pairs; pairs without informative documentation are dropped.
 
 Defined results: text outside the grammar is skipped, so broken files give the functions that can still
-be read; null contents give nothing; a file read twice gives its functions once.
+be read; brackets may nest to any depth; null contents give nothing; a file read twice gives its functions once.
 """
 
 from __future__ import annotations
 
 import re
-import sys
 from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
 from symloom.llm import common
-from symloom.llm.peg import Grammar
+from symloom.llm.peg import Grammar, balanced
 
 # The Skip terminals read on to the next place where another alternative can begin.
 THRIFT = r"""
@@ -32,8 +31,6 @@ Comment  <- Block / Line
 Function@ <- ('oneway' Sp)? Type Sp FuncName Sp? Parens (Sp? 'throws' Sp? Parens)? (Sp? Parens)? ~/\s*[,;]?/
 FuncName@ <- ~/[A-Za-z_]\w*/
 Type     <- ~/[A-Za-z_][\w.]*/ (~/\s*/ Angles)?
-Angles   <- '<' (~/[^<>]+/ / Angles)* '>'
-Parens   <- '(' (String / Comment / Parens / ~/[^()"'\/#]+/ / ~/[\/]/)* ')'
 Name     <- ~/[A-Za-z_][\w.]*/
 String   <- ~/"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'/
 Sp       <- (~/\s+/ / Comment)+
@@ -46,15 +43,19 @@ File     <- (Comment / String / Def / Skip / Any)*
 Def@     <- '(' ~/(?:cl-)?def(?:un|macro|subst)(?=\s)/ Sp FuncName Sp Args (~/\s*/ Doc)?
 FuncName@ <- ~/[^\s()\[\]"',`;#]+/
 Args     <- 'nil' / List
-List     <- '(' (~/[^()"';?\\]+/ / String / List / Comment / Char / ~/['\;?]/)* ')'
 Doc@     <- String
-Char     <- ~/\?(?:\\.|[^\s])/
 Comment  <- ~/;[^\n]*/
 String   <- ~/"(?:\\.|[^"\\])*"/
 Sp       <- (~/\s+/ / Comment)+
 Skip     <- ~/(?:[^;"?(\\]|\\.|(?<![\w-])\?(?:\\.|[^\s\\])|(?<=[\w-])\?|\((?!(?:cl-)?def(?:un|macro|subst)\s))+/
 Any      <- ~/./
 """
+# Brackets with all that nests in them; strings and comments hold none.
+MATCHERS = {
+    "Angles": balanced("<", ">", r"[^<>]+"),
+    "Parens": balanced("(", ")", r'"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\'|/\*.*?\*/|//[^\n]*|#[^\n]*'),
+    "List": balanced("(", ")", r'"(?:\\.|[^"\\])*"|;[^\n]*|(?<![\w-])\?(?:\\.|\S)|\\.'),
+}
 #: Articles of the languages met in comments.
 ARTICLES = frozenset("a an the der die das den dem ein eine einen le la les un une des el los las una o os as um uma het een de l".split())
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
@@ -104,16 +105,12 @@ class Pairs:
     """Both grammars, compiled once a task."""
 
     def __init__(self) -> None:
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
-        self.grammar = {"thrift": Grammar(THRIFT), "el": Grammar(ELISP)}
+        self.grammar = {"thrift": Grammar(THRIFT, MATCHERS), "el": Grammar(ELISP, MATCHERS)}
 
     def of(self, text: str, kind: str) -> Iterator[tuple[int, str, int, int, str]]:
         """name's line, name, start and end of the function, documentation."""
         starts = [0, *(m.end() for m in re.finditer("\n", text))]
-        try:
-            yield from getattr(self, kind)(text, lambda p: bisect_right(starts, p))
-        except RecursionError:  # lists nested thousands deep are no program; the file gives nothing
-            return
+        yield from getattr(self, kind)(text, lambda p: bisect_right(starts, p))
 
     def thrift(self, text: str, line) -> Iterator[tuple[int, str, int, int, str]]:
         above: tuple | None = None

@@ -4,6 +4,9 @@
     A* A+ A? !A &A (A)     repetition, option, predicates, grouping
     'text'  ~/regex/       terminals
 
+Names that the grammar does not define may be given as matchers ``f(text, position) -> end or None``: nested
+brackets, which are counted in place of a recursion as deep as they nest (see :func:`balanced`).
+
 Each rule's result at a position is kept, so no rule is tried twice at one place. A rule whose name
 ends in ``@`` in its definition is captured: the parse yields (rule, start, end, children), offsets of the source.
 """
@@ -31,9 +34,29 @@ def _tokens(text: str) -> list[tuple[str, str]]:
     return out
 
 
+def balanced(opening: str, closing: str, skipped: str) -> Callable[[str, int], int | None]:
+    """A matcher of one bracket with all that is nested in it; what ``skipped`` matches holds no brackets."""
+    token = re.compile(f"{skipped}|[{re.escape(opening + closing)}]", re.S)
+
+    def match(s: str, p: int) -> int | None:
+        if not s.startswith(opening, p):
+            return None
+        depth = 0
+        for m in token.finditer(s, p):
+            if m.group() == opening:
+                depth += 1
+            elif m.group() == closing:
+                depth -= 1
+                if not depth:
+                    return m.end()
+        return None
+
+    return match
+
+
 class Grammar:
-    def __init__(self, text: str) -> None:
-        self.rules: dict[str, Expr] = {}
+    def __init__(self, text: str, matchers: dict[str, Callable[[str, int], int | None]] | None = None) -> None:
+        self.rules: dict[str, Expr] = {n: self._rule(n, self._matcher(f), False) for n, f in (matchers or {}).items()}
         self._t, self._i = _tokens(text), 0
         self.first = ""
         while self._i < len(self._t):
@@ -50,6 +73,10 @@ class Grammar:
         got = self.rules[self.first](text, pos, {})
         return list(got[1]) if got else []
 
+    @staticmethod
+    def _matcher(f: Callable[[str, int], int | None]) -> Expr:
+        return lambda s, p, memo: (e, ()) if (e := f(s, p)) is not None else None
+
     def _at(self, kind: str, value: str | None = None) -> bool:
         return self._i < len(self._t) and self._t[self._i][0] == kind and (value is None or self._t[self._i][1] == value)
 

@@ -118,3 +118,13 @@ def test_comment_behind_code():
     for t in (text, text.replace("\n", "\r\n")):
         got = {name: doc for _, name, _, _, doc in D.Pairs().of(t, "thrift")}
         assert got == {"alpha": "Opens the first of them.", "beta": "Reads all of the options\nand gives them back.", "eps": "Closes the last of them."}
+
+
+def test_deep_nesting_loses_nothing():
+    from symloom.llm.docpairs import Pairs
+
+    deep = "(" * 60_000 + ")" * 60_000
+    el = f'(defun good (x) "Gives the sum of both numbers." x)\n(setq a \'{deep})\n(defun odd (&optional {deep}) "Keeps the first of all the rows." nil)\n(defun last (x) "Drops what comes after the end." x)\n'
+    assert [(n, name) for n, name, *_ in Pairs().of(el, "el")] == [(1, "good"), (3, "odd"), (4, "last")]
+    thrift = "service S {\n  // Gives the first of the rows.\n  " + "list<" * 30_000 + "i32" + ">" * 30_000 + " rows(1: i32 a),\n  // Drops all rows of the table.\n  void drop(),\n}\n"
+    assert [(n, name) for n, name, *_ in Pairs().of(thrift, "thrift")] == [(3, "rows"), (5, "drop")]
