@@ -1,8 +1,9 @@
 """Problem 5: generated, minified, vendored and data files among C sources.
 
 Method: an inverted index of the hashes of rare lines of known other projects gives the exact share of
-each reference file's rare lines that a source file holds (copies with edits keep most of them); what the
-file says of itself and where it stands come next; token-composition rules judge the remaining files.
+each reference file's rare lines that a source file holds (copies with edits keep most of them). A copy that
+names its project with a release or an address is found by the project names of the reference table, an
+output by the file it was made from or by what it says of itself; token-composition rules judge the rest.
 
 Defined results: null contents give no row; an empty file is no case; a file read twice counts once; with
 no reference files only the rules speak.
@@ -11,11 +12,13 @@ no reference files only the rules speak.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symloom.llm import common
+from symloom.storage import materialize
 
 #: A line is rare if at most this share of the reference files (but two at least) hold it.
 RARE_SHARE = 1 / 8
@@ -27,22 +30,21 @@ DATA_SHARE = 0.7
 
 #: Names of directories that hold other projects, as whole path segments.
 THIRD_PARTY = frozenset("third_party third-party thirdparty 3rdparty vendor vendored vendors external externals extern deps gnulib contrib bundled node_modules".split())
-# What tools write about their output, in the languages of the collection.
+# How files say, in the languages of the collection, that a tool wrote them or that they are not to be edited.
 _WRITTEN = re.compile(
-    r"\bauto(?:matically)?[\s-]*(?:generated|produced|created|written)\b|\bgenerated (?:by|from|with)\b|@generated\b|\bmachine[- ](?:written|generated|made)\b"
-    r"|\bdo not (?:edit|modify)\b(?! the)|\bdon.t (?:change|edit|modify) (?:it|this)\b|\bchanges will be lost\b|\bedit that instead\b|\bmade this out of\b|\brebuilt by \S+ on every\b"
+    r"\bauto(?:matically)?[\s-]*(?:generated|produced|created|written)\b|\bgenerated (?:by|from|with)\b|@generated\b|\bmachine[- ](?:written|generated|made)\b|\bdo not (?:edit|modify)\b(?! the)"
     r"|automatisch (?:erzeugt|generiert|erstellt|gegenereerd|aangemaakt)|nicht (?:bearbeiten|ändern|editieren)|niet (?:bewerken|wijzigen|aanpassen)"
     r"|ne pas (?:modifier|éditer)|(?:produit|généré|créé) (?:automatiquement|par)|(?:creado|generado) (?:automáticamente|por)|no (?:lo )?(?:edite|editar|modificar)\b"
     r"|(?:gerado|criado) (?:automaticamente|por)|não (?:edite|editar|altere)|wygenerowan|utworzon\w+ (?:automatycznie|przez)|nie (?:edytować|edytuj|zmieniać)"
     r"|создан\w* (?:программой|автоматически)|сгенерирован|не (?:править|редактировать|изменять)|otomatik olarak|tarafından (?:oluşturul|üretil)|düzenlemeyin|自動生成|自动生成|編集しないで|请勿(?:编辑|修改)|不要(?:编辑|修改)",
     re.I,
 )
+#: A file that is neither C nor a document, named at the head of a C file: what it was made from.
+_SOURCE = re.compile(r"(?<![\w/.@-])[\w./-]*\w\.(?!(?:c|h|cc|hh|cpp|hpp|cxx|hxx|txt|md|rst|html?|pdf|log|org|com|net|example|test|invalid)\b)[a-z]{1,8}\b(?![./\w@(])")
 _NOT_NOW = re.compile(r"\bused to be\b|\bno longer\b|\bkept by hand\b|\bformerly\b|\bnot generated\b|\bat start-?up\b|\bat run ?time\b", re.I)
-# What copies say about their origin.
-_COPIED = re.compile(
-    r"\bimported (?:unchanged |verbatim |unmodified )?from\b|\blocal copy of\b|\btaken (?:over )?(?:unchanged )?from the \S+ (?:sources?|project|release)|\bbundled for\b|\bupstream: ?http|\bshipped with this (?:tree|package|source|repository)\b|\bvendored (?:from|copy)\b|\bcopied (?:unchanged |verbatim )?from the \S+ (?:sources?|project)\b|\bfixes go to its own project\b",
-    re.I | re.M,
-)
+#: What stands beside the name of another project where a copy tells its origin: a release or an address.
+_ORIGIN = re.compile(r"\b[a-z][\w+-]*[ (,v]+\d+\.\d+|\brelease \d|://", re.I)
+_TOKEN = re.compile(r"[^\W\d_][\w+-]*")
 # Constructs that only tools write, one a family of tools.
 _TOOL_CODE = re.compile(
     r"^[ \t]*#[ \t]*line \d+ \"|\basso_values\b|\bMAX_HASH_VALUE\b|\bconvert_ptr ?\(args, &argp\d+|\bzzevaluate_rule|\bpcc_thunk_t\b|\byy(?:pact|defact|pgoto|defgoto|translate)\d*\[\]",
@@ -54,21 +56,25 @@ _STRING = re.compile(r'"((?:\\.|[^"\\\n])*)"')
 _PROSE = re.compile(r"[A-Za-z_]+(?:[ -][A-Za-z_]+)*\Z")
 
 
-def self_description(text: str) -> str:
-    """'generated' or 'vendored' if a comment before the first or after the last code says so of the file, else ''."""
+def outer_comments(text: str) -> Iterator[str]:
+    """Comments before the first or after the last code, each in one line, but for those that take back what they say."""
     first = _BLANK.match(text).end()
     tail = text.rstrip()
     for start, end, block, _ in common.comments(text, "c"):
-        if start >= first and end < len(tail):
-            continue
-        flat = " ".join(block.split())
-        if _NOT_NOW.search(flat):
-            continue
-        if _COPIED.search(block) or _COPIED.search(flat):
-            return "vendored"
-        if _WRITTEN.search(flat):
-            return "generated"
-    return ""
+        if start < first or end >= len(tail):
+            flat = " ".join(block.split())
+            if not _NOT_NOW.search(flat):
+                yield flat
+
+
+def self_description(text: str) -> str:
+    """'generated' if a comment before the first or after the last code says so of the file or names what it was made from, else ''."""
+    return "generated" if any(_WRITTEN.search(x) or _SOURCE.search(x) for x in outer_comments(text)) else ""
+
+
+def origin_words(text: str) -> set[str]:
+    """Lower-case words of the outer comments that give a release or an address: the name of another project may be among them."""
+    return {w.lower() for x in outer_comments(text) if _ORIGIN.search(x) for w in _TOKEN.findall(x)}
 
 
 def composition(text: str) -> str:
@@ -127,10 +133,18 @@ def not_handwritten(files: DataFrame, upstream: DataFrame) -> DataFrame:
     def make():
         def f(file_id, path, contents):
             if reason := reason_of(path or "", contents):
-                yield file_id, reason
+                yield file_id, reason, None
+            else:
+                for word in origin_words(contents.replace("\r", "").lstrip("\ufeff")):
+                    yield file_id, None, word
 
         return f
 
-    ruled = common.map_rows(files.select("file_id", "path", "contents"), "file_id long, reason string", make, scan=True)
+    looked = common.map_rows(files.select("file_id", "path", "contents"), "file_id long, reason string, word string", make, scan=True)
+    looked = materialize(looked, "looked")
+    ruled = looked.where("reason is not null").select("file_id", "reason")
+    # Copies that name their project: the names are those of the reference table, in one word.
+    names = upstream.where("project is not null").select(F.lower(F.regexp_replace(F.trim("project"), r"\s+", "-")).alias("word")).distinct()
+    named = looked.where("word is not null").select("file_id", "word").join(names, "word", "left_semi").select("file_id", F.lit("vendored").alias("reason"))
     copies = contained(files.select("file_id", "contents"), upstream).select("file_id", F.lit("copied").alias("reason"))
-    return copies.unionByName(ruled).groupBy("file_id").agg(F.min("reason").alias("reason"))
+    return copies.unionByName(ruled).unionByName(named).groupBy("file_id").agg(F.min("reason").alias("reason"))

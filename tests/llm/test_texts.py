@@ -64,7 +64,8 @@ CODE = '#include "a.h"\n\n/* Adds the two numbers and gives back the sum. */\nst
         ("src/a.c", CODE + "\n/* このファイルは a.y から自動生成されました。編集しないでください。 */\n", "generated"),
         ("src/a.c", "/* This used to be auto-generated; it is kept by hand now. */\n" + CODE, ""),
         ("src/a.c", CODE.replace("int main", "/* The table is generated by hand, @generated mark. */\nint main"), ""),
-        ("src/a.c", "/* Imported unchanged from libx 2.0. */\n" + CODE, "vendored"),
+        ("src/a.c", "/* mk2c 4.5 wove this from a_b.peg */\n" + CODE, "generated"),
+        ("src/a.c", "/* See README.txt, a.h and https://x.example/y.html */\n" + CODE, ""),
         ("src/a.c", '#line 3 "a.y"\nint f (void) { return 1; }\n', "generated"),
         ("src/a.c", "const unsigned char x[] = {\n" + "  0x14, 0x8f, 0x89, 0x00,\n" * 50 + "};\n", "data"),
         ("src/a.c", CODE + "static const int t[] = { 1, 2, 3 };\n", ""),
@@ -93,6 +94,20 @@ def test_containment(spark):
     assert H.not_handwritten(f, up.limit(0)).count() == 0 and H.not_handwritten(f.limit(0), up).count() == 0
 
 
+def test_copies_that_name_their_project(spark):
+    up = spark.createDataFrame([(1, "libx", "int x;"), (2, "Big Tree", ""), (3, None, None)], "upstream_id int, project string, contents string")
+    files = [
+        (1, "src/a.c", "/* Imported unchanged from libx 2.0. */\n" + CODE),
+        (2, "src/a.c", "/* A piece of LIBX as of spring, see https://libx.example/. */\n" + CODE),
+        (3, "src/a.c", "/* Reads what libx writes. */\n" + CODE),
+        (4, "src/a.c", CODE.replace("int main", "/* libx 2.0 */\nint main")),
+        (5, "src/a.c", "/* This used to be libx 2.0 and was written anew. */\n" + CODE),
+        (6, "src/a.c", CODE + "\n/* from the Big-Tree project, release 4.2 */\n"),
+    ]
+    f = spark.createDataFrame(files * 2, "file_id long, path string, contents string")
+    assert sorted(tuple(r) for r in H.not_handwritten(f, up).collect()) == [(1, "vendored"), (2, "vendored"), (6, "vendored")]
+
+
 PROSE = "The parser reads the next line and keeps it. When the file ends, the index is written to the disk. "
 SPAM = [
     "tag cleaner / free tag cleaner / tag cleaner / new tag cleaner / tag cleaner / free tag cleaner / tag cleaner / tag cleaner",
