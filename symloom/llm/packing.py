@@ -8,9 +8,9 @@ found; else a new one is opened.
 The items are spread over shards of about ``SHARD_ROWS`` by a hash of their id and each shard is packed by
 itself: a shard loses at most a part of a container, and no group grows with the data.
 
-Conflicts: two copies of one text do not share a container, as long as the copies of a cluster are not more
-than the containers that the shard needs anyway; beyond that keeping them apart would leave space unused,
-and the conflict is waived for that cluster. Pairs of sources that must not meet are an argument (none by default).
+Conflicts: two copies of one text do not share a container. Where a cluster has more copies than the shard
+needs containers, a container holds as few of them as an even spread gives: sets of as many copies as there
+are containers needed, of which no two meet. Pairs of sources that must not meet are an argument (none by default).
 
 Defined results: an item larger than the capacity is split into full pieces and a rest, no other is split;
 null texts are not placed; empty texts take no tokens but their separator; repeated ids are placed as often
@@ -99,15 +99,20 @@ def pack(items: Sequence[tuple[int, str | None, bytes | None]], capacity: int, s
         if c is not None:
             copies[c] = copies.get(c, 0) + 1
     least = -(-sum(s for s, _, _ in items) // capacity) if capacity else 0
-    cluster: dict[bytes, int] = {}
-    for c, n in copies.items():
-        if 1 < n <= max(2, least):
-            cluster[c] = 1 << len(cluster)
+    # Copies that are more than the containers needed anyway go into as many sets of that size as it takes; two
+    # of one set do not meet, so a container holds as few copies as an even spread allows.
+    bit_of: dict[tuple[bytes, int], int] = {}
+    met: dict[bytes, int] = {}
+    cluster = [0] * len(items)
+    for i, (_, _, c) in enumerate(items):
+        if c is not None and copies[c] > 1 and least > 1:
+            k = met[c] = met.get(c, -1) + 1
+            cluster[i] = bit_of.setdefault((c, k // least), 1 << len(bit_of))
     bins = Bins(capacity, separator, foes)
     where = [0] * len(items)
     for i in sorted(range(len(items)), key=lambda i: (-items[i][0], i)):
-        size, source, c = items[i]
-        where[i] = bins.add(size, bit.get(source, 0), cluster.get(c, 0))
+        size, source, _ = items[i]
+        where[i] = bins.add(size, bit.get(source, 0), cluster[i])
     return where, bins
 
 

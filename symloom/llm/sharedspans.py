@@ -23,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from symloom.llm import common
+from symloom.sources.parallel import slices
 from symloom.storage import materialize
 
 MIN_SPAN = 200
@@ -143,12 +144,6 @@ class Automaton:
         return found
 
 
-def shards(text: str) -> Iterator[str]:
-    step = SHARD - (MIN_SPAN - 1)
-    for at in range(0, max(1, len(text) - (MIN_SPAN - 1)), step):
-        yield text[at : at + SHARD]
-
-
 def covered(spans: list[tuple[int, int]]) -> int:
     """Characters in the union of spans."""
     total = reach = 0
@@ -188,7 +183,7 @@ class Sharing:
         self.texts = one.dropDuplicates(["cls"])
 
     def matched(self, both: bool) -> DataFrame:
-        """``ref, cls, spans``: maximal shared spans of class ``cls`` in ``ref``; with ``both`` also the other way round."""
+        """``ref, cls, spans``: maximal spans of class ``cls`` in each shard of ``ref``; with ``both`` also the other way round."""
         pairs = self.candidates
         if both:
             pairs = pairs.unionByName(pairs.select(F.col("cls").alias("ref"), F.col("ref").alias("cls")))
@@ -196,23 +191,27 @@ class Sharing:
         wide = pairs.join(slots, "ref").withColumn("slot", F.pmod(F.xxhash64("cls"), F.col("slots")).cast("int"))
         needed = pairs.select("cls").union(pairs.select("ref")).distinct()
         texts = self.texts.join(needed, "cls", "left_semi")
-        refs = slots.withColumnRenamed("ref", "cls").join(texts, "cls").select(F.col("cls").alias("ref"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.lit(None).cast("binary").alias("cls"), "text")
-        docs = wide.join(texts, "cls").select("ref", "slot", "cls", "text")
-        # A reference comes before the documents streamed through it; nothing but its automata is held.
-        rows = refs.unionByName(docs).repartition("ref", "slot").sortWithinPartitions("ref", "slot", F.col("cls").asc_nulls_first())
+        # A task holds one shard of one reference; a run that crosses shards stands whole in their overlap.
+        step = SHARD - (MIN_SPAN - 1)
+        last = lambda n: F.ceil(F.greatest(n - (MIN_SPAN - 1), F.lit(1)) / step).cast("int") - 1
+        refs = slots.withColumnRenamed("ref", "cls").join(texts, "cls").withColumn("shard", F.explode(F.sequence(F.lit(0), last(F.length("text")))))
+        refs = refs.select(F.col("cls").alias("ref"), "shard", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.lit(None).cast("binary").alias("cls"), F.substr("text", F.col("shard") * step + 1, F.lit(SHARD)).alias("text"))
+        sizes = texts.select(F.col("cls").alias("ref"), last(F.length("text")).alias("last"))
+        docs = wide.join(sizes, "ref").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("last")))).join(texts, "cls").select("ref", "shard", "slot", "cls", "text")
+        # A shard comes before the documents streamed through it; nothing but its automaton is held.
+        rows = refs.unionByName(docs).repartition("ref", "shard", "slot").sortWithinPartitions("ref", "shard", "slot", F.col("cls").asc_nulls_first())
         schema = StructType.fromDDL("ref binary, cls binary, spans array<struct<start:int,length:int>>")
         arrow = to_arrow_schema(schema)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automata: list[Automaton] = []
-            for b in batches:
+            automaton: Automaton | None = None
+            for b in slices(batches):
                 out: list[dict] = []
                 for ref, cls, text in zip(b["ref"].to_pylist(), b["cls"].to_pylist(), b["text"].to_pylist(), strict=True):
                     if cls is None:
-                        automata = [Automaton(s) for s in shards(text)]
+                        automaton = Automaton(text)
                         continue
-                    spans = sorted({x for a in automata for x in a.spans(text)})
-                    if spans:
+                    if spans := automaton.spans(text):
                         out.append({"ref": ref, "cls": cls, "spans": [{"start": s, "length": n} for s, n in spans]})
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
@@ -249,7 +248,7 @@ def shared_pairs(records: DataFrame) -> DataFrame:
     s = Sharing(records)
     m = s.members.where(F.col("n") >= MIN_SPAN).select("id", "cls")
     other = m.select(F.col("id").alias("id_b"), F.col("cls").alias("cls_b"))
-    links = materialize(s.matched(both=False).select("ref", "cls"), "span-links")
+    links = materialize(s.matched(both=False).select("ref", "cls").distinct(), "span-links")
     across = links.join(m.withColumnRenamed("cls", "ref"), "ref").join(other.withColumnRenamed("cls_b", "cls"), "cls").select("id", "id_b")
     within = m.join(other, F.col("cls") == F.col("cls_b")).where("id < id_b").select("id", "id_b")
     return across.unionByName(within).select(F.least("id", "id_b").alias("file_a"), F.greatest("id", "id_b").alias("file_b"))
