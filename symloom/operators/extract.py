@@ -18,18 +18,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from symloom.functions.patterns import LIMIT, search_pattern
 from symloom.functions.script import Context, Machine, Quit, ScriptError, Stop, compile_script
 from symloom.operators.spec import LanguageSpec, Registry, Rule, to_python
-from symloom.sources.parallel import ready
+from symloom.sources.parallel import ready, slices
 
 ENTRY = (
     "file_id long, entry_id int, path string, language string, name string, kind string, kind_letter string, roles array<string>, line long, end long, nth int,"
     " pattern string, file_scope boolean, scope_id int, scope_kind string, scope_name string, typeref string, signature string, access string, inherits string,"
     " extras array<string>, placeholder boolean, fields map<string,string>"
 )
-#: Limits against rules that do not move: depth of the table stack, and switches at one place.
-MAX_TABLES, MAX_STILL = 64, 65
-MAX_GUESTS = 16
+#: Against rules that do not move: switches of tables at one place.
+MAX_STILL = 65
+#: Entries in one Arrow batch.
+BATCH_ENTRIES = 5000
 
 
 @lru_cache(maxsize=4096)
@@ -261,8 +263,6 @@ class Host:
                 before = table
                 if act:
                     if act[0] == "tenter":
-                        if len(stack) >= MAX_TABLES:
-                            return
                         stack.append(act[2] if len(act) > 2 else table)
                         table = act[1]
                     elif act[0] == "tleave":
@@ -306,21 +306,22 @@ class Host:
         return self.entries
 
 
-def extract_text(spec: LanguageSpec, path: str, text: str, registry: Registry | None = None, extras: tuple[str, ...] = (), depth: int = 0) -> list[dict]:
+def extract_text(spec: LanguageSpec, path: str, text: str, registry: Registry | None = None, extras: tuple[str, ...] = ()) -> list[dict]:
     """Entries of one text, those of its guest regions behind them with their lines shifted."""
     text = text.lstrip("﻿")
     host = Host(spec, path, text, registry, extras)
     found = host.run()
     for e in found:
         e.setdefault("language", spec.name)
-    if registry is not None and depth < MAX_GUESTS:
+    if registry is not None:
         for sub in registry.specs.values():
             if sub.base == spec.name and (sub.line_rules or sub.multi_rules or sub.tables):
-                found = found + _shifted(extract_text(sub, path, text, None, extras, depth + 1), len(found), 0, "subparser")
+                found = found + _shifted(extract_text(sub, path, text, None, extras), len(found), 0, "subparser")
         for lang, lo, hi in host.promises:
             guest = registry.get(lang)
-            if guest is not None:
-                more = extract_text(guest, path, text[lo:hi], registry, extras, depth + 1)
+            # A region is smaller than its text, so guests within guests come to an end.
+            if guest is not None and hi - lo < len(text):
+                more = extract_text(guest, path, text[lo:hi], registry, extras)
                 found = found + _shifted(more, len(found), host.line_of(lo) - 1, "guest")
     return found
 
@@ -376,23 +377,24 @@ def writable(spec: LanguageSpec | None, e: dict, references: bool, anonymous: bo
     return k is None or k.enabled
 
 
-def extract_entries(files: DataFrame, registry: Registry, references: bool = False, text: str = "contents", language: str = "lang") -> DataFrame:
+def extract_entries(files: DataFrame, registry: Registry, references: bool = False, text: str = "contents", language: str = "lang", carry: str | None = None, limit: int = LIMIT) -> DataFrame:
     """``files(file_id, path, contents, lang)`` to entries in the schema ``ENTRY``.
 
-    One narrow pass without a shuffle; null texts, null or unknown languages give no entries. Patterns are
-    cut as the tags writer cuts them, on the side of the reader of the column, not here.
+    One narrow pass without a shuffle, in batches of bounded rows and bytes; null texts, null or unknown
+    languages give no entries. ``limit``: bytes of a line that its pattern keeps, 0 for all. ``carry``: a column
+    that each entry takes from its file; with it a file also gives one row without a name, that says it was read.
     """
-    from symloom.functions.patterns import search_pattern
-
     ready(files.sparkSession)
-    struct = StructType.fromDDL(ENTRY)
+    struct = StructType.fromDDL(ENTRY + (f", `{carry}` {dict(files.dtypes)[carry]}" if carry else ""))
     arrow = to_arrow_schema(struct)
     names = [f.name for f in struct.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[dict] = []
-            for fid, path, contents, lang in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        out: list[dict] = []
+        for b in slices(batches):
+            for fid, path, contents, lang, *carried in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if carry:
+                    out.append({n: None for n in names} | {"file_id": fid, "path": path, "language": lang, carry: carried[0]})
                 spec = registry.get(lang)
                 if contents is None or spec is None:
                     continue
@@ -406,15 +408,20 @@ def extract_entries(files: DataFrame, registry: Registry, references: bool = Fal
                     at = e["line"] - 1
                     row = {n: e.get(n) for n in names}
                     row |= {"file_id": fid, "entry_id": i, "path": path, "file_scope": bool(e.get("file_scope")), "placeholder": False, "roles": e["roles"] or ["def"]}
-                    row["pattern"] = e.get("pattern") or search_pattern(lines[at] if at < len(lines) else "")
+                    row["pattern"] = e.get("pattern") or search_pattern(lines[at] if at < len(lines) else "", limit)
+                    if carry:
+                        row[carry] = carried[0]
                     row["fields"] = list((e.get("fields") or {}).items())
                     if own is not None and row["kind_letter"] is None and (k := own.kind(e["kind"])):
                         row["kind_letter"] = k.letter
                     out.append(row)
-            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                    if len(out) >= BATCH_ENTRIES:
+                        yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                        out.clear()
+        yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     rows = files.where(F.col(text).isNotNull() & F.col(language).isNotNull())
-    return rows.select(F.col("file_id").cast("long"), "path", F.col(text), F.col(language)).mapInArrow(run, struct)
+    return rows.select(F.col("file_id").cast("long"), "path", F.col(text), F.col(language), *([carry] if carry else [])).mapInArrow(run, struct)
 
 
 # --- rules that need no state: built-in expressions only ------------------------------------------

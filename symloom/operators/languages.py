@@ -467,7 +467,7 @@ lang("BETA", "f:fragment p:pattern- s:slot v:virtual", "bet", [R(r"^\s*-+\s*(\w+
 lang("Man", "t:title s:section S:subsection", "man 1 2 3 4 5 6 7 8 9 3pm 3stap 7stap", [R(r'^\.TH\s+"?([^"\s]+)', "t"), R(r'^\.SH\s+"?([^"]+?)"?\s*$', "s"), R(r'^\.SS\s+"?([^"]+?)"?\s*$', "S")])
 lang("Diff", "m:modifiedFile n:newFile d:deletedFile h:hunk", "diff patch", [R(r"^---\s+(?:a/)?(?!/dev/null)([^\t\n]+)", "m"), R(r"^@@\s+(.*?)\s+@@", "h")])
 lang("DosBatch", "l:label v:variable b:batchfile", "bat cmd", [R(r"^\s*:([A-Za-z_0-9]+)\s*$", "l"), R(r"^\s*set\s+(?:/[ap]\s+)?\"?(\w+)=", "v", icase=True), R(r"^\s*call\s+([\w.\\-]+\.(?:bat|cmd))", "b", icase=True, role="called")])
-lang("OptionFile", "l:langdef k:kind", "ctags", [R(r"^--langdef=([^{\s]+)", "l", scope="set"), R(r"^--kinddef-\S+?=.,([^,]+)", "k", scope="ref"), R(r"^--regex-\S+?=.*/.,([\w ]+)", "k", scope="ref")])
+lang("OptionFile", "l:langdef k:kind", "", [R(r"^--langdef=([^{\s]+)", "l", scope="set"), R(r"^--kinddef-\S+?=.,([^,]+)", "k", scope="ref"), R(r"^--regex-\S+?=.*/.,([\w ]+)", "k", scope="ref")])
 lang("Make", "m:macro t:target I:makefile/included", "mak mk", [R(r"^\s*(?:export\s+|override\s+)?([\w.-]+)\s*(?:::?|\?|\+|!)?=", "m", exclusive=True), R(r"^\s*define\s+(\S+)", "m"), R(r"^((?![.]PHONY\b)[^\s:=#$][^\s:=#]*)\s*::?(?!=)", "t"), R(r"^\s*-?s?include\s+(\S+)", "I", role="included")], patterns="[Mm]akefile GNUmakefile", hide=HASH, aliases="makefile makefile-gmake")
 lang("Automake", "d:directory P:program M:man T:ltlibrary L:library S:script D:data c:condition s:subdir p:pseudodir-", "am", [R(r"^\s*(\w+)dir\s*=", "d"), R(r"^\s*\w+_PROGRAMS\s*\+?=\s*(\S+)", "P"), R(r"^\s*\w+_LTLIBRARIES\s*\+?=\s*(\S+)", "T"), R(r"^\s*\w+_LIBRARIES\s*\+?=\s*(\S+)", "L"), R(r"^\s*\w+_SCRIPTS\s*\+?=\s*(\S+)", "S"), R(r"^\s*\w+_DATA\s*\+?=\s*(\S+)", "D"), R(r"^\s*if\s+(\w+)", "c", role="branched"), R(r"^\s*SUBDIRS\s*=\s*(\S+)", "s", role="subdir")], patterns="Makefile.am GNUmakefile.am", aliases="makefile-automake")
 lang("Autoconf", "p:package t:template m:macro w:optwith e:optenable s:subst c:condition d:definition", "ac", [R(r"^\s*AC_INIT\(\s*\[?([^\],)]+)", "p"), R(r"^\s*AC_ARG_WITH\(\s*\[?([^\],)]+)", "w"), R(r"^\s*AC_ARG_ENABLE\(\s*\[?([^\],)]+)", "e"), R(r"^\s*AC_SUBST\(\s*\[?(\w+)", "s"), R(r"^\s*AM_CONDITIONAL\(\s*\[?(\w+)", "c"), R(r"^\s*AC_DEFINE(?:_UNQUOTED)?\(\s*\[?(\w+)", "d"), R(r"^\s*A[CU]_DEFUN\(\s*\[?(\w+)", "m"), R(r"^\s*AH_TEMPLATE\(\s*\[?(\w+)", "t")], patterns="configure.in", hide=r"(?m:\bdnl\b[^\n]*)")

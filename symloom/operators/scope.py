@@ -10,19 +10,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Scopes deeper than this are cut off; a chain that loops ends here too.
-MAX_DEPTH = 32
+from symloom.storage import materialize
 
 
-def qualified_names(entries: DataFrame, separators: DataFrame | None = None, default: str = ".", depth: int = MAX_DEPTH, file: str = "file_id", placeholder: str | None = None) -> DataFrame:
+
+def qualified_names(entries: DataFrame, separators: DataFrame | None = None, default: str = ".", depth: int | None = None, file: str = "file_id", placeholder: str | None = None) -> DataFrame:
     """Adds ``fqn``: names of all ancestors and the own one, joined by the separator of each pair of kinds.
 
     ``entries(file, entry_id, scope_id, name, kind)``. Parents are found by jumping: each round joins every
     entry with the ancestor that its current one points to, so a chain of n scopes takes log2(n) joins on
-    the same key. Placeholders lend no name. An entry that is its own ancestor stops there.
+    the same key. ``depth`` bounds the chains if it is known; without it rounds go on until every chain has
+    ended. Placeholders lend no name. An entry that is its own ancestor stops there; without a depth, entries
+    whose chain runs into a loop count as having no scope.
     """
     hidden = F.coalesce(F.col(placeholder), F.lit(False)) if placeholder else F.lit(False)
     base = entries.select(file, "entry_id", "scope_id", "name", "kind", hidden.alias("_hidden"))
+    rounds = max(1, (max(1, depth) - 1).bit_length()) if depth is not None else 0
+    if depth is None:
+        base, rounds = _without_loops(base, file)
     parent = base.select(F.col(file), F.col("entry_id").alias("scope_id"), F.col("kind").alias("_pkind"), F.col("name").alias("_pname"), F.col("_hidden").alias("_phidden"))
     own = base.where(F.col("scope_id").isNull() | (F.col("scope_id") != F.col("entry_id"))).join(parent, [file, "scope_id"], "left")
     if separators is not None:
@@ -32,13 +37,31 @@ def qualified_names(entries: DataFrame, separators: DataFrame | None = None, def
         own = own.withColumn("_sep", F.lit(None).cast("string"))
     head = F.when(F.col("_pname").isNull() | F.col("_phidden"), F.lit("")).otherwise(F.concat("_pname", F.coalesce("_sep", F.lit(default))))
     step = own.select(file, "entry_id", F.col("scope_id").alias("up"), head.alias("prefix"))
-    rounds = max(1, (max(1, depth) - 1).bit_length())
     for _ in range(rounds):
         above = step.select(F.col(file), F.col("entry_id").alias("up"), F.col("up").alias("_up2"), F.col("prefix").alias("_prefix2"))
         step = step.join(above, [file, "up"], "left").select(file, "entry_id", F.col("_up2").alias("up"), F.concat(F.coalesce("_prefix2", F.lit("")), "prefix").alias("prefix"))
     return entries.join(step.select(file, "entry_id", "prefix"), [file, "entry_id"], "left").withColumn("fqn", F.concat(F.coalesce("prefix", F.lit("")), "name")).drop("prefix")
 
 
+def _without_loops(base: DataFrame, file: str) -> tuple[DataFrame, int]:
+    """``base`` with the scopes of looping chains emptied, and the rounds of doubling that the longest chain takes."""
+    base = materialize(base, "scopes")
+    longest = base.groupBy(file).count().agg(F.max("count")).first()[0] or 1
+    jump = base.where("scope_id IS NOT NULL AND scope_id <> entry_id").select(file, "entry_id", F.col("scope_id").alias("up"))
+    rounds = 0
+    # A chain that has not ended after as many steps as its file has entries is a loop.
+    while rounds <= int(longest).bit_length():
+        jump = materialize(jump, "scope-jumps")
+        if jump.limit(1).count() == 0:
+            return base, max(1, rounds)
+        above = jump.select(F.col(file), F.col("entry_id").alias("up"), F.col("up").alias("_up"))
+        jump = jump.join(above, [file, "up"]).select(file, "entry_id", F.col("_up").alias("up"))
+        rounds += 1
+    looped = jump.select(file, "entry_id").distinct().withColumn("_loop", F.lit(True))
+    cut = base.join(looped, [file, "entry_id"], "left").withColumn("scope_id", F.when(F.col("_loop").isNull(), F.col("scope_id"))).drop("_loop")
+    return cut.select(*base.columns), rounds
+
+
 def _small(df: DataFrame, most: int = 10_000) -> bool:
     """Whether a table of settings is as small as it should be, before it is broadcast."""
     return df.limit(most + 1).count() <= most
@@ -91,22 +114,28 @@ def lookup_last(entries: DataFrame, keys: DataFrame, on: list[str], order: str =
     return keys.join(last, on).select(*keys.columns, *[F.col(f"_e.`{c}`").alias(c) for c in rest])
 
 
-def ancestors(entries: DataFrame, depth: int = MAX_DEPTH, file: str = "file_id") -> DataFrame:
+def ancestors(entries: DataFrame, depth: int | None = None, file: str = "file_id") -> DataFrame:
     """``file, entry_id, ancestor, distance``: every entry with itself (0), its scope (1), and so on up to the
-    file itself (null). Found by doubling: log2(depth) joins, each along a chain twice as long."""
+    file itself (null). Found by doubling: log2(depth) joins, each along a chain twice as long; without a
+    depth until no chain grows."""
     direct = entries.where(F.col("scope_id").isNull() | (F.col("scope_id") != F.col("entry_id"))).select(file, "entry_id", F.col("scope_id").alias("ancestor"), F.lit(1).alias("distance"))
     reach, reached = direct, 1
-    while reached < depth:
+    while depth is None or reached < depth:
+        if depth is None:
+            reach = materialize(reach, "ancestors")
+            if reach.where((F.col("distance") == reached) & F.col("ancestor").isNotNull()).limit(1).count() == 0:
+                break
         more = reach.where("ancestor IS NOT NULL").join(reach.select(file, F.col("entry_id").alias("ancestor"), F.col("ancestor").alias("_a"), F.col("distance").alias("_d")), [file, "ancestor"])
         # Pairs as long as the known reach lengthen it; shorter ones are known already.
         far = more.select(file, "entry_id", F.col("_a").alias("ancestor"), (F.col("distance") + F.col("_d")).alias("distance")).where(F.col("distance") > reached)
-        reach = reach.unionByName(far).distinct()
+        # The nearest way to each ancestor counts, so a loop adds nothing after one turn.
+        reach = reach.unionByName(far).groupBy(file, "entry_id", "ancestor").agg(F.min("distance").alias("distance"))
         reached *= 2
     own = entries.select(file, "entry_id", F.col("entry_id").cast(dict(direct.dtypes)["ancestor"]).alias("ancestor"), F.lit(0).alias("distance"))
-    return own.unionByName(reach.where(F.col("distance") <= depth))
+    return own.unionByName(reach if depth is None else reach.where(F.col("distance") <= depth))
 
 
-def resolve(entries: DataFrame, refs: DataFrame, depth: int = MAX_DEPTH, file: str = "file_id") -> DataFrame:
+def resolve(entries: DataFrame, refs: DataFrame, depth: int | None = None, file: str = "file_id") -> DataFrame:
     """For each reference ``(file, ref_id, scope_id, name)`` the entry of that name in the nearest scope outward;
     of several in one scope the last. References without an entry are left out."""
     up = ancestors(entries, depth, file).select(file, F.col("entry_id").alias("scope_id"), F.col("ancestor").alias("_s"), F.col("distance").alias("_d"))

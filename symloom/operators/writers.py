@@ -1,4 +1,4 @@
-"""Index rows as text: u-ctags, e-ctags, etags, cross reference and JSON; header rows; sort and append."""
+"""Index rows as text: escaped and plain rows, etags, cross reference and JSON; header rows; sort and append."""
 
 from __future__ import annotations
 
@@ -13,8 +13,8 @@ from symloom.functions.escape import escape, escape_name
 
 #: Fixed value: the order of extension fields in a row.
 FIELD_ORDER = ("kind", "line", "language", "scope", "typeref", "file", "inherits", "access", "implementation", "signature", "roles", "extras", "xpath", "end", "epoch", "nth")
-#: How headers name the escaping form of a row and the older one.
-MODES = ("u-ctags", "e-ctags")
+#: The escaping form of a row and the older one. A header names its form in a word of the tool that reads it: an argument.
+MODES = ("escaped", "plain")
 #: Fixed value: bytes of a line that a search pattern keeps.
 PATTERN_LIMIT = 96
 

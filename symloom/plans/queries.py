@@ -153,11 +153,12 @@ query("SELECT repo_id, ptag_name, setting FROM ptags WHERE ptag_name LIKE '!\\_T
 _ONE = "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY file_id, entry_id ORDER BY indexed_at DESC) AS rn FROM entries) WHERE rn = 1"
 
 
-def current(s: SparkSession, d: str) -> DataFrame:
-    return latest(t(s, d, "entries"))
+def current(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The entries as indexed last, with the columns that the query needs."""
+    return latest(t(s, d, "entries"), columns=columns or None)
 
 
-query(f"SELECT file_id, entry_id, tag_name, kind, line_no, end_line, indexed_at FROM ({_ONE})", "latest_entries")(lambda s, d: current(s, d).select("file_id", "entry_id", "tag_name", "kind", "line_no", "end_line", "indexed_at"))
+query(f"SELECT file_id, entry_id, tag_name, kind, line_no, end_line, indexed_at FROM ({_ONE})", "latest_entries")(lambda s, d: current(s, d, "tag_name", "kind", "line_no", "end_line", "indexed_at"))
 
 
 def _columns() -> dict:
@@ -174,7 +175,7 @@ _TAGS_SQL = """tag_name || chr(9) || path || chr(9) || tag_pattern || ';"' || ch
 
 @query(f"SELECT file_id, entry_id, {_TAGS_SQL} AS line FROM ({_ONE}) WHERE tag_pattern IS NOT NULL AND path IS NOT NULL")
 def writer_tags(s, d):
-    e = current(s, d).where("tag_pattern IS NOT NULL AND path IS NOT NULL")
+    e = current(s, d, "tag_name", "path", "tag_pattern", "kind", "line_no", "lang", "scope_name", "scope_kind", "typeref", "file_scope", "signature", "end_line").where("tag_pattern IS NOT NULL AND path IS NOT NULL")
     return e.select("file_id", "entry_id", writers.tags_line(_columns()).alias("line"))
 
 
@@ -190,17 +191,17 @@ def read_index(s, d):
 @query(f"SELECT file_id, entry_id, rpad(tag_name, CAST(greatest(16, length(tag_name)) AS INTEGER), ' ') || ' ' || rpad(kind, CAST(greatest(10, length(kind)) AS INTEGER), ' ') || ' ' || lpad(coalesce(CAST(line_no AS VARCHAR), ''), CAST(greatest(4, length(coalesce(CAST(line_no AS VARCHAR), ''))) AS INTEGER), ' ') || ' ' || path AS line FROM ({_ONE})")
 def writer_xref(s, d):
     columns = {"N": F.col("tag_name"), "K": F.col("kind"), "n": F.col("line_no"), "F": F.col("path")}
-    return current(s, d).select("file_id", "entry_id", writers.xref_line("%-16N %-10K %4n %F", columns).alias("line"))
+    return current(s, d, "tag_name", "kind", "line_no", "path").select("file_id", "entry_id", writers.xref_line("%-16N %-10K %4n %F", columns).alias("line"))
 
 
 @query(f"SELECT file_id, entry_id, '{{\"_type\":\"tag\",\"name\":' || to_json(tag_name) || ',\"kind\":' || to_json(kind) || coalesce(',\"line\":' || line_no, '') || coalesce(',\"end\":' || end_line, '') || '}}' AS line FROM ({_ONE})")
 def writer_json(s, d):
-    return current(s, d).select("file_id", "entry_id", writers.json_line({"name": F.col("tag_name"), "kind": F.col("kind"), "line": F.col("line_no"), "end": F.col("end_line")}).alias("line"))
+    return current(s, d, "tag_name", "kind", "line_no", "end_line").select("file_id", "entry_id", writers.json_line({"name": F.col("tag_name"), "kind": F.col("kind"), "line": F.col("line_no"), "end": F.col("end_line")}).alias("line"))
 
 
 @query(f"SELECT path, CAST(sum(strlen(tag_pattern) + strlen(tag_name) + strlen(CAST(line_no AS VARCHAR)) + 5) AS BIGINT) AS n_bytes, count(*) AS n_entries FROM ({_ONE}) WHERE line_no IS NOT NULL GROUP BY path")
 def etags_bytes(s, d):
-    e = current(s, d).where("line_no IS NOT NULL").select("path", F.col("tag_pattern").alias("line_text"), F.col("tag_name").alias("name"), F.col("line_no").alias("line"), F.lit(0).alias("offset"))
+    e = current(s, d, "path", "tag_pattern", "tag_name", "line_no").where("line_no IS NOT NULL").select("path", F.col("tag_pattern").alias("line_text"), F.col("tag_name").alias("name"), F.col("line_no").alias("line"), F.lit(0).alias("offset"))
     return writers.etags(e, "path").withColumn("n_bytes", F.col("n_bytes").cast("long"))
 
 
@@ -349,11 +350,11 @@ _TREE_SQL = """SELECT CAST(c_custkey + 1000000 AS BIGINT) AS entry_id, c_name AS
  UNION ALL SELECT CAST(n_nationkey + 1000 AS BIGINT), n_name, r_name || '.' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT CAST(r_regionkey AS BIGINT), r_name, r_name FROM region"""
 query(_TREE_SQL, "scope_fqn")(lambda s, d: scope.qualified_names(_tree(s, d), depth=4).select("entry_id", "name", "fqn"))
 query(f"SELECT entry_id, name FROM ({_TREE_SQL}) UNION ALL SELECT entry_id, fqn FROM ({_TREE_SQL}) WHERE fqn <> name", "qualified_rows")(lambda s, d: scope.qualified_rows(scope.qualified_names(_tree(s, d), depth=4)).select("entry_id", "name"))
-query(f"SELECT file_id, entry_id, row_number() OVER (PARTITION BY file_id, scope_name ORDER BY entry_id) - 1 AS nth FROM ({_ONE})", "nth_in_scope")(lambda s, d: scope.with_nth(current(s, d), scope="scope_name").select("file_id", "entry_id", F.col("nth").cast("long").alias("nth")))
-query(f"SELECT file_id, scope_name, count(*) AS n FROM ({_ONE}) WHERE scope_name IS NOT NULL GROUP BY ALL", "scope_children_count")(lambda s, d: scope.count_in_scope(current(s, d)))
+query(f"SELECT file_id, entry_id, row_number() OVER (PARTITION BY file_id, scope_name ORDER BY entry_id) - 1 AS nth FROM ({_ONE})", "nth_in_scope")(lambda s, d: scope.with_nth(current(s, d, "scope_name"), scope="scope_name").select("file_id", "entry_id", F.col("nth").cast("long").alias("nth")))
+query(f"SELECT file_id, scope_name, count(*) AS n FROM ({_ONE}) WHERE scope_name IS NOT NULL GROUP BY ALL", "scope_children_count")(lambda s, d: scope.count_in_scope(current(s, d, "scope_name")))
 query(
     f"SELECT p.file_id, p.entry_id, arg_max(e.entry_id, (e.line_no, e.entry_id)) AS enclosing_id FROM ({_ONE}) p LEFT JOIN ({_ONE}) e ON p.file_id = e.file_id AND e.end_line > e.line_no AND p.line_no BETWEEN e.line_no AND e.end_line WHERE p.line_no IS NOT NULL GROUP BY ALL", "interval_enclosing"
-)(lambda s, d: scope.enclosing(current(s, d).where("line_no IS NOT NULL").select("file_id", "entry_id", "line_no"), current(s, d).select("file_id", "entry_id", F.col("line_no").alias("line"), F.col("end_line").alias("end"), F.col("tag_name").alias("name"))).select("file_id", F.col("entry_id"), "enclosing_id"))
+)(lambda s, d: scope.enclosing(current(s, d, "line_no").where("line_no IS NOT NULL").select("file_id", "entry_id", "line_no"), current(s, d, "line_no", "end_line", "tag_name").select("file_id", "entry_id", F.col("line_no").alias("line"), F.col("end_line").alias("end"), F.col("tag_name").alias("name"))).select("file_id", F.col("entry_id"), "enclosing_id"))
 
 
 @query("SELECT c_custkey AS ref_id, CAST(r_regionkey AS BIGINT) AS target_id FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
@@ -374,25 +375,25 @@ def symbol_lookup_last(s, d):
 
 _END = f"coalesce(end_line, greatest(lead(line_no) OVER (PARTITION BY file_id ORDER BY line_no, entry_id) - 1, line_no))"
 query(f"SELECT file_id, entry_id, {_END} AS end_line FROM ({_ONE}) WHERE line_no IS NOT NULL", "end_inference")(
-    lambda s, d: scope.with_inferred_end(current(s, d).where("line_no IS NOT NULL").select("file_id", "entry_id", F.col("line_no").alias("line"), F.col("end_line").alias("end"))).select("file_id", "entry_id", F.col("end").alias("end_line"))
+    lambda s, d: scope.with_inferred_end(current(s, d, "line_no", "end_line").where("line_no IS NOT NULL").select("file_id", "entry_id", F.col("line_no").alias("line"), F.col("end_line").alias("end"))).select("file_id", "entry_id", F.col("end").alias("end_line"))
 )
-query(f"SELECT file_id, entry_id, tag_name FROM ({_ONE}) WHERE list_contains(role_list, 'def')", "roles_filter")(lambda s, d: current(s, d).where(F.array_contains(F.coalesce("role_list", F.array().cast("array<string>")), "def")).select("file_id", "entry_id", "tag_name"))
-query(f"SELECT file_id, entry_id, tag_name FROM ({_ONE}) WHERE NOT coalesce(list_contains(extra_list, 'fileScope'), false)", "extras_filter")(lambda s, d: current(s, d).where(~F.coalesce(F.array_contains("extra_list", "fileScope"), F.lit(False))).select("file_id", "entry_id", "tag_name"))
+query(f"SELECT file_id, entry_id, tag_name FROM ({_ONE}) WHERE list_contains(role_list, 'def')", "roles_filter")(lambda s, d: current(s, d, "role_list", "tag_name").where(F.array_contains(F.coalesce("role_list", F.array().cast("array<string>")), "def")).select("file_id", "entry_id", "tag_name"))
+query(f"SELECT file_id, entry_id, tag_name FROM ({_ONE}) WHERE NOT coalesce(list_contains(extra_list, 'fileScope'), false)", "extras_filter")(lambda s, d: current(s, d, "extra_list", "tag_name").where(~F.coalesce(F.array_contains("extra_list", "fileScope"), F.lit(False))).select("file_id", "entry_id", "tag_name"))
 
 
 @query(f"SELECT e.file_id, e.entry_id, coalesce(k.kind, e.kind) AS kind FROM ({_ONE}) e LEFT JOIN kinds k ON e.lang = k.lang AND e.kind = k.kind_letter")
 def kind_names(s, d):
     """Kind letters as long names, by the table of kinds."""
     k = t(s, d, "kinds").select("lang", F.col("kind_letter").alias("kind"), F.col("kind").alias("long"))
-    return current(s, d).join(k, ["lang", "kind"], "left").select("file_id", "entry_id", F.coalesce("long", "kind").alias("kind"))
+    return current(s, d, "lang", "kind").join(k, ["lang", "kind"], "left").select("file_id", "entry_id", F.coalesce("long", "kind").alias("kind"))
 
 
 query("SELECT lang, kind, count(*) AS n FROM (SELECT e.lang, coalesce(k.kind, e.kind) AS kind FROM (" + _ONE + ") e LEFT JOIN kinds k ON e.lang = k.lang AND e.kind = k.kind_letter) GROUP BY ALL", "tags_per_kind")(
-    lambda s, d: current(s, d).join(t(s, d, "kinds").select("lang", F.col("kind_letter").alias("kind"), F.col("kind").alias("long")), ["lang", "kind"], "left").groupBy("lang", F.coalesce("long", "kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    lambda s, d: current(s, d, "lang", "kind").join(t(s, d, "kinds").select("lang", F.col("kind_letter").alias("kind"), F.col("kind").alias("long")), ["lang", "kind"], "left").groupBy("lang", F.coalesce("long", "kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 )
 query(
     f"SELECT * FROM (SELECT count(*) AS files, CAST(sum(len(string_split(contents, chr(10))) - CASE WHEN suffix(contents, chr(10)) THEN 1 ELSE 0 END) AS BIGINT) AS lines, CAST(sum(strlen(contents)) AS BIGINT) AS bytes FROM {_GOOD}) CROSS JOIN (SELECT count(*) AS tags, max(strlen(tag_name)) AS longest_name FROM ({_ONE}))", "totals_stats"
-)(lambda s, d: scope.totals(good(s, d, lines=scope.line_count(F.col("contents")), bytes=F.octet_length("contents")), current(s, d)).select("files", "lines", "bytes", "tags", F.col("longest_name").cast("long").alias("longest_name")))
+)(lambda s, d: scope.totals(good(s, d, lines=scope.line_count(F.col("contents")), bytes=F.octet_length("contents")), current(s, d, "tag_name")).select("files", "lines", "bytes", "tags", F.col("longest_name").cast("long").alias("longest_name")))
 
 
 @query(f"SELECT f.file_id, min(l.lang) AS detected FROM {_GOOD} f LEFT JOIN langmap l ON l.spec = 'extension' AND regexp_extract(f.path, '\\.([^./]*)$', 1) = l.pattern_text GROUP BY f.file_id")
@@ -442,7 +443,7 @@ def writable_entries(s, d):
     st = Options(registry)
     for o in ("--languages=C,Perl", "--kinds-C=-f", "--extras=-F"):
         st.apply(o)
-    e = current(s, d)
+    e = current(s, d, "lang", "kind", "role_list", "extra_list", "tag_name")
     return e.where(filters.writable(st.registry, st.settings, F.col("lang"), F.col("kind"), F.col("role_list"), F.col("extra_list"))).select("file_id", "entry_id", "tag_name")
 
 
@@ -450,16 +451,20 @@ query(f"SELECT i AS rule, p AS pattern, CAST(sum(CASE WHEN regexp_matches(line,
     lambda s, d: stats.pattern_counts(lines_of(t(s, d, "documents"), "text", "doc_id"), _HEADS)
 )
 query(f"SELECT coalesce(f.lang, e.lang) AS lang, coalesce(files, 0) AS files, CAST(coalesce(bytes, 0) AS BIGINT) AS bytes, coalesce(tags, 0) AS tags FROM (SELECT lang, count(*) AS files, sum(strlen(contents)) AS bytes FROM {_GOOD} GROUP BY lang) f FULL JOIN (SELECT lang, count(*) AS tags FROM ({_ONE}) GROUP BY lang) e ON f.lang IS NOT DISTINCT FROM e.lang", "language_counters")(
-    lambda s, d: stats.language_counts(good(s, d, lang=F.col("lang"), bytes=F.octet_length("contents").cast("long")), current(s, d))
+    lambda s, d: stats.language_counts(good(s, d, lang=F.col("lang"), bytes=F.octet_length("contents").cast("long")), current(s, d, "lang"))
 )
 
 
 @query(f"SELECT e.file_id, e.entry_id, l.line FROM ({_ONE}) e JOIN (SELECT file_id, CAST(i AS BIGINT) AS line_no, ls[i] AS line FROM (SELECT file_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT file_id, string_split(replace(ltrim(contents, chr(65279)), chr(13), ''), chr(10)) AS ls FROM {_GOOD}))) l ON e.file_id = l.file_id AND e.line_no = l.line_no")
 def entry_source_line(s, d):
-    """Each entry with its line of the source: lines that hold no entry are dropped before texts move."""
-    lines = lines_of(t(s, d, "files").where("contents IS NOT NULL"))
-    e = current(s, d).where("line_no IS NOT NULL").select("file_id", "entry_id", "line_no")
-    return e.join(lines, ["file_id", "line_no"]).dropDuplicates(["file_id", "entry_id"]).select("file_id", "entry_id", "line")
+    """Each entry with its line of the source: the line numbers of a file go to its text as one list, so a text
+    moves at most once, as a whole, and only the lines asked for come out of it."""
+    e = current(s, d, "line_no").where("line_no IS NOT NULL").select("file_id", "entry_id", "line_no")
+    parts = F.split(F.regexp_replace(F.regexp_replace("contents", "^\ufeff", ""), r"(\r\n|\r|\n)\z", ""), r"\r\n|\r|\n", -1)
+    asked = e.groupBy("file_id").agg(F.collect_set("line_no").alias("asked"))  # of one file
+    lines = t(s, d, "files").where("contents IS NOT NULL AND contents <> ''").select("file_id", "contents").join(asked, "file_id").withColumn("parts", parts)
+    picked = lines.select("file_id", F.explode(F.transform("asked", lambda n: F.struct(n.alias("line_no"), F.get(F.col("parts"), (n - 1).cast("int")).alias("line")))).alias("x")).select("file_id", "x.*").where("line IS NOT NULL")
+    return e.join(picked.dropDuplicates(["file_id", "line_no"]), ["file_id", "line_no"]).select("file_id", "entry_id", "line")
 
 
 #: A language defined by options: a state machine over change logs.
@@ -521,7 +526,7 @@ def catalog_operators(s, d):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions of the index, filtered by the query language and printed by its formatter."""
-    e = latest(t(spark, sf_dir, "entries"))
+    e = current(spark, sf_dir, *ENTRY_ROW.values())
     row = Row(ENTRY_ROW)
     return e.where(filter_column('(and (or (eq? $kind "function") (eq? $kind "f")) $line)', row)).select("file_id", "entry_id", format_column('(list $name " " $signature " " $input ":" $line)', row).alias("text"))
 

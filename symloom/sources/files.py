@@ -75,7 +75,7 @@ def detect_by_name(files: DataFrame, langmap: DataFrame, path: str = "path") ->
     """
     ext = F.when(base_name(F.col(path)).contains("."), F.element_at(F.split(base_name(F.col(path)), r"\."), -1))
     by_ext = langmap.where("spec = 'extension'").groupBy(F.col("pattern_text").alias("_ext")).agg(F.min("lang").alias("_by_ext"))
-    pats = [(r[0], r[1]) for r in langmap.where("spec = 'pattern'").select("lang", "pattern_text").orderBy("lang", "pattern_text").limit(5000).collect()]
+    pats = [(r[0], r[1]) for r in langmap.where("spec = 'pattern'").select("lang", "pattern_text").orderBy("lang", "pattern_text").collect()]  # settings, one row a pattern
     by_pat = F.lit(None).cast("string")
     for lang, p in reversed(pats):
         by_pat = F.when(base_name(F.col(path)).rlike(glob_to_regex(p)), F.lit(lang)).otherwise(by_pat)

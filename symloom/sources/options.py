@@ -17,10 +17,6 @@ from symloom.operators.writers import MODES
 _SHORT = {"i": "icase", "x": "exclusive", "b": "basic", "e": "extend", "p": "pcre2"}
 
 
-#: Fixed value: names of option files.
-FILES = "*.ctags"
-
-
 class OptionError(ValueError):
     pass
 
@@ -179,10 +175,10 @@ class Options:
         self.settings = Settings()
         self.tables: dict[str, dict[str, list[Rule]]] = {}
 
-    def load(self, path: str) -> Options:
-        """A file, or all option files of a directory in order of name."""
+    def load(self, path: str, names: str = "*") -> Options:
+        """A file, or all files of a directory whose names fit ``names``, in order of name."""
         p = Path(path)
-        for f in sorted(p.glob(FILES)) if p.is_dir() else [p]:
+        for f in sorted(x for x in p.glob(names) if x.is_file()) if p.is_dir() else [p]:
             self.read(f.read_text())
         return self
 

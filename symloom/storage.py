@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that all executors share.
 
 A lineage is cut by writing a Parquet table below ``spark.checkpoint.dir``; a lost executor then
-costs only the tasks it was running. The folder is taken from the session. Only where it is unset
-(tests, a laptop) a temporary folder is used.
+costs only the tasks it was running. The folder is taken from the session. Where it is unset, a session of
+one machine (tests, a laptop) uses a temporary folder; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ _OWN: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where the session names none."""
+    """The shared folder of the session; a temporary one only where the session names none and runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="symloom-"))
         atexit.register(shutil.rmtree, _LOCAL[0], True)

@@ -13,46 +13,56 @@ from pyspark.sql.streaming import StreamingQuery
 
 from symloom.operators.extract import extract_entries
 from symloom.operators.spec import Registry
+from symloom.storage import materialize
 
+#: Partitions of an index unless the caller, who knows how large it gets, names another number.
 PARTS = 64
 
 
-def part_of(path="path"):
-    return F.pmod(F.xxhash64(path), F.lit(PARTS)).cast("int")
-
-
 class StreamIndexer:
-    def __init__(self, spark: SparkSession, registry: Registry, table: str, key: str = "path") -> None:
-        """``key``: the column that tells files apart, ``path`` or ``file_id``."""
-        self.spark, self.registry, self.table, self.key = spark, registry, table, key
+    def __init__(self, spark: SparkSession, registry: Registry, table: str, key: str = "path", parts: int = PARTS) -> None:
+        """``key``: the column that tells files apart, ``path`` or ``file_id``. ``parts`` stays what it was at first."""
+        self.spark, self.registry, self.table, self.key, self.parts = spark, registry, table, key, parts
 
     def entries(self) -> DataFrame:
+        return self._rows().where("name IS NOT NULL")
+
+    def _rows(self) -> DataFrame:
+        """Entries, and a row without a name for each file that was read."""
         return self.spark.read.parquet(self.table)
 
-    def update(self, files: DataFrame, batch_id: int = 0) -> None:
-        """``files(path, contents, lang, seq)`` and the key: of several reads of one file the last by ``seq`` counts."""
-        key = self.key
-        last = files.groupBy(key).agg(F.max_by(F.struct(*(c for c in ("path", "contents", "lang") if c != key)), "seq").alias("x")).select(key, "x.*")
-        if key == "path":
-            last = last.withColumn("file_id", F.xxhash64("path"))
-        new = extract_entries(last, self.registry).withColumn("part", part_of(key))
-        try:
-            old = self.entries()
-        except Exception:  # the first batch
-            old = None
-        spark = self.spark
-        mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-        from symloom.storage import materialize
+    def _exists(self) -> bool:
+        """Whether the table is there; any failure to find out is an error, not a first batch."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.table)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+    def _part(self):
+        return F.pmod(F.xxhash64(self.key), F.lit(self.parts)).cast("int")
 
+    def update(self, files: DataFrame, batch_id: int = 0) -> None:
+        """``files(path, contents, lang, seq)`` and the key: of all reads of one file, in this batch and before,
+        the last by ``seq`` counts. Texts are not shuffled: reads are told apart after extraction."""
+        key, spark = self.key, self.spark
+        rows = files if key == "file_id" else files.withColumn("file_id", F.xxhash64("path"))
+        new = materialize(extract_entries(rows, self.registry, carry="seq").withColumn("part", self._part()), "stream-new")
+        reads = new.where("name IS NULL").groupBy(key).agg(F.max("seq").alias("seq"))
+        old = self._rows() if self._exists() else None
         if old is not None:
             # Only the partitions of the batch are read, and they are written from a copy, not from themselves.
-            touched = last.select(part_of(key).alias("part")).distinct()
-            parts = [r[0] for r in touched.collect()]  # at most PARTS numbers
-            kept = old.where(F.col("part").isin(parts)).join(last.select(key), key, "left_anti")
-            new = materialize(kept.unionByName(new.select(*kept.columns)), "stream-index")
+            parts = [r[0] for r in new.select("part").distinct().collect()]  # at most ``parts`` numbers
+            old = old.where(F.col("part").isin(parts))
+            before = old.where("name IS NULL").select(key, F.col("seq").alias("_seq"))
+            reads = reads.join(before, key, "left").where("_seq IS NULL OR seq >= _seq").select(key, "seq")
+        reads = materialize(reads, "stream-reads")
+        # A file read twice at one moment has the same text: its entries are made distinct.
+        table = new.join(reads, [key, "seq"], "left_semi").dropDuplicates([key, "entry_id", "name"])
+        if old is not None:
+            kept = old.join(reads.select(key), key, "left_anti")
+            table = materialize(kept.unionByName(table.select(*kept.columns)), "stream-index")
+        mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
         try:
             spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-            new.repartition("part").sortWithinPartitions("part", "name").write.mode("overwrite").partitionBy("part").parquet(self.table)
+            table.repartition("part").sortWithinPartitions("part", "name").write.mode("overwrite").partitionBy("part").parquet(self.table)
         finally:
             spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
 

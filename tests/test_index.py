@@ -172,3 +172,48 @@ def test_line_queries_over_all_lines(spark, tmp_path):
     assert sorted((r.line_no, r.compact) for r in run("compact_line_all")) == [(i, re.sub(r"[ \t\n\x0b\f\r]+", " ", x).strip(" ")) for i, x in enumerate(lines, 1)]
     upper = lambda x: re.sub("[a-z]+", lambda m: m.group().upper(), x).encode()
     assert [r.line for r in sorted(run("sort_foldcase_all"), key=lambda r: r["rank"])] == sorted(set(lines), key=lambda x: (upper(x), x.encode()))
+
+
+def test_deep_and_looping_scopes(spark):
+    rows = [(1, i, i - 1 if i > 1 else None, f"n{i}", "c") for i in range(1, 151)] + [(2, 1, 2, "a", "c"), (2, 2, 1, "b", "c"), (2, 3, 2, "in", "c"), (2, 4, None, "top", "c"), (2, 5, 4, "x", "c")]
+    e = spark.createDataFrame(rows, "file_id int, entry_id int, scope_id int, name string, kind string")
+    got = {(r.file_id, r.entry_id): r.fqn for r in scope.qualified_names(e).collect()}
+    assert got[1, 150] == ".".join(f"n{i}" for i in range(1, 151))
+    assert got[2, 1] == "a" and got[2, 3] == "in" and got[2, 5] == "top.x"
+    up = scope.ancestors(e)
+    assert up.where("file_id = 1 AND entry_id = 150").count() == 151
+    assert up.where("file_id = 2 AND entry_id = 3").count() == 3
+    refs = spark.createDataFrame([(1, 7, 150, "n1")], "file_id int, ref_id int, scope_id int, name string")
+    assert [r.target_id for r in scope.resolve(e, refs).collect()] == [1]
+    assert scope.qualified_names(e.limit(0)).count() == 0
+
+
+def test_streaming_index_keeps_and_orders(spark, tmp_path):
+    from symloom.operators.languages import REGISTRY
+    from symloom.streaming.ingest import StreamIndexer
+
+    schema = "file_id long, path string, contents string, lang string, seq long"
+    put = lambda *rows: spark.createDataFrame(list(rows), schema)
+    index = StreamIndexer(spark, REGISTRY, str(tmp_path / "index"), key="file_id", parts=4)
+    names = lambda: sorted((r.file_id, r.name) for r in index.entries().collect())
+    c = lambda n: f"int {n} (void)\n{{\n}}\n"
+    index.update(put((1, "a.c", c("one"), "C", 5), (2, "a.c", c("two"), "C", 5), (3, "b.c", "", "C", 9), (1, "a.c", c("old"), "C", 2)))
+    assert names() == [(1, "one"), (2, "two")]
+    index.update(put((1, "a.c", c("late"), "C", 4), (3, "b.c", c("early"), "C", 8), (4, "d.c", c("four"), "C", 1), (4, "d.c", c("four"), "C", 1)))
+    assert names() == [(1, "one"), (2, "two"), (4, "four")]
+    index.update(put((1, "a.c", c("newer"), "C", 6)))
+    assert names() == [(1, "newer"), (2, "two"), (4, "four")]
+    broken = StreamIndexer(spark, REGISTRY, "nosuchscheme://x/index", key="file_id")
+    with pytest.raises(Exception):
+        broken.update(put((9, "a.c", c("x"), "C", 1)))
+    assert names() == [(1, "newer"), (2, "two"), (4, "four")]
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+
+    from symloom import storage
+
+    s = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://x:7077"))
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(s)
