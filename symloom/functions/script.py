@@ -122,6 +122,7 @@ class Machine:
         self.out: list[str] = []
         self.error: str | None = None
         self.steps, self.limit = 0, limit
+        self.running: list[Proc] = []
 
     def run(self, proc: Proc) -> list:
         try:
@@ -131,6 +132,13 @@ class Machine:
         return self.stack
 
     def execute(self, proc: Proc) -> None:
+        self.running.append(proc)
+        try:
+            self._each(proc)
+        finally:
+            self.running.pop()
+
+    def _each(self, proc: Proc) -> None:
         for x in proc:
             self.steps += 1
             if self.steps > self.limit:
@@ -189,11 +197,18 @@ class Machine:
         if name == "roles" or name == "extras":
             return [Name(x, True) for x in e.get(name) or []]
         v = e.get(name, (e.get("fields") or {}).get(name))
+        if name in ("kind", "language") and v is not None:
+            return Name(v, True)
+        if name == "typeref" and v is not None:
+            return [Str(x) for x in v.split(":", 1)]
         return None if v is None else Str(v) if isinstance(v, str) else v
 
     def set_field(self, e: dict, name: str, v) -> None:
         if isinstance(v, MatchLoc):
             v = v.line
+        if name == "typeref" and isinstance(v, list):
+            e["typeref"] = ":".join(text_of(x) for x in v)
+            return
         v = v.s if isinstance(v, Str) else v.name if isinstance(v, Name) else v
         if name == "scope":
             e["scope_id"] = v or None
@@ -585,8 +600,19 @@ def _stopped(m: Machine) -> None:
 
 OPS["_newerror"] = lambda m: m.stack.append(m.error is not None)
 OPS["_errorname"] = lambda m: m.stack.append(Name(m.error, True) if m.error else None)
-OPS["countexecstack"] = lambda m: m.stack.append(0)
-OPS["execstack"] = lambda m: None
+OPS["countexecstack"] = lambda m: m.stack.append(len(m.running))
+
+
+@op("execstack")
+def _execstack(m: Machine) -> None:
+    """The procedures that run, the outermost first, put into the array."""
+    a = m.pop(list)
+    if len(a) < len(m.running):
+        raise ScriptError("rangecheck", len(a))
+    a[: len(m.running)] = m.running
+    m.stack.append(a[: len(m.running)])
+
+
 
 
 @op("type")

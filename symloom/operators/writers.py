@@ -141,13 +141,13 @@ def append(old: DataFrame, new: DataFrame, path: str = "input") -> DataFrame:
     return old.join(new.select(path).distinct(), path, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def header_rows(spark, sort: str = "yes", mode: str = MODES[0]) -> DataFrame:
+def header_rows(spark, sort: str = "yes", mode: str = MODES[0], limit: int = PATTERN_LIMIT) -> DataFrame:
     """Header rows of an index, as lines."""
     rows = [
         ("!_TAG_FILE_FORMAT", "2", "extended format"),
         ("!_TAG_FILE_SORTED", {"no": "0", "yes": "1", "foldcase": "2"}[sort], "0=unsorted, 1=sorted, 2=foldcase"),
-        ("!_TAG_OUTPUT_MODE", mode, " or ".join(MODES)),
+        ("!_TAG_OUTPUT_MODE", mode, "form of the rows"),
         ("!_TAG_OUTPUT_FILESEP", "slash", "slash or backslash"),
-        ("!_TAG_PATTERN_LENGTH_LIMIT", str(PATTERN_LIMIT), "0 for no limit"),
+        ("!_TAG_PATTERN_LENGTH_LIMIT", str(limit), "0 for no limit"),
     ]
     return spark.createDataFrame([(f"{a}\t{b}\t/{c}/",) for a, b, c in rows], "line string")

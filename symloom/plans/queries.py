@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,7 +84,7 @@ FILTERS: dict[str, tuple[str, str, str]] = {
     "dsl_string_regexp": ("entries", '((string->regexp "LIST" :case-fold #t) $name)', "contains(lower(tag_name), 'list')"),
     "dsl_scope_split": ("entries", '(and (eq? $typeref-kind "typename") (prefix? $typeref-name "map"))', "starts_with(typeref, 'typename:map')"),
     "dsl_or_value": ("entries", "(> (or $end $line) 60)", "coalesce(end_line, line_no) > 60"),
-    "dsl_null": ("part", "(null? (quote ()))", "true"),
+    "dsl_null": ("part", "(and (null? (quote ())) (> $line 25))", "p_size > 25"),
 }
 
 
@@ -148,7 +149,17 @@ _find("tag_name = 'yystep'", "find_exact", "yystep")
 _find("starts_with(tag_name, 'scope')", "find_prefix", "scope", True)
 _find("lower(tag_name) = 'asso_values'", "find_icase", "ASSO_Values", False, True)
 _find("starts_with(lower(tag_name), 'list')", "find_prefix_icase", "LIST", True, True)
-query("SELECT repo_id, ptag_name, setting FROM ptags WHERE ptag_name LIKE '!\\_TAG\\_FILE%' ESCAPE '\\'", "ptag_scan")(lambda s, d: t(s, d, "ptags").where(F.col("ptag_name").startswith("!_TAG_FILE")).select("repo_id", "ptag_name", "setting"))
+
+
+@query("SELECT repo_id, substr(ptag_name, 2) AS ptag_name, parser_name AS parser, coalesce(setting, '') AS setting, coalesce(remark, '') AS remark FROM ptags")
+def ptag_scan(s, d):
+    """The header rows of all indexes, written as lines and read again."""
+    from symloom.functions.escape import escape
+    from symloom.sources.tags import parse_ptags
+
+    name = F.concat("ptag_name", F.coalesce(F.concat(F.lit("!"), "parser_name"), F.lit("")))
+    line = F.concat(name, F.lit("\t"), escape(F.coalesce("setting", F.lit(""))), F.lit("\t/"), escape(F.coalesce("remark", F.lit(""))), F.lit("/"))
+    return parse_ptags(t(s, d, "ptags").select("repo_id", line.alias("value")))
 
 _ONE = "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY file_id, entry_id ORDER BY indexed_at DESC) AS rn FROM entries) WHERE rn = 1"
 
@@ -205,21 +216,32 @@ def etags_bytes(s, d):
     return writers.etags(e, "path").withColumn("n_bytes", F.col("n_bytes").cast("long"))
 
 
-@query("SELECT count(*) AS bad FROM documents WHERE false")
+_ESCAPED_SQL = "replace(replace(replace(replace(x, '\\', '\\\\'), chr(9), '\\t'), chr(10), '\\n'), chr(13), '\\r')"
+
+
+@query(f"SELECT doc_id, CASE WHEN left(x, 1) IN ('!', ' ') THEN '\\x' || CASE left(x, 1) WHEN '!' THEN '21' ELSE '20' END || substr({_ESCAPED_SQL}, 2) ELSE {_ESCAPED_SQL} END AS escaped, x AS back FROM (SELECT doc_id, text AS x FROM documents WHERE text IS NOT NULL)")
 def escape_roundtrip(s, d):
-    """Texts that escaping and unescaping does not give back: none."""
-    doc = t(s, d, "documents").where("text IS NOT NULL")
-    return doc.where(unescape(escape_name(F.col("text"))) != F.col("text")).agg(F.count(F.lit(1)).alias("bad"))
+    """Whole texts escaped as names, and what unescaping gives back."""
+    doc = t(s, d, "documents").where("text IS NOT NULL").select("doc_id", escape_name(F.col("text")).alias("escaped"))
+    return doc.select("doc_id", "escaped", unescape(F.col("escaped")).alias("back"))
 
 
 _LINES_SQL = "SELECT doc_id, CAST(i AS BIGINT) AS line_no, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '\\n\\z', ''), chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND text <> ''))"
 query(_LINES_SQL, "scan_lines")(lambda s, d: lines_of(t(s, d, "documents"), "text", "doc_id"))
 
 
-@query(f"SELECT doc_id, line_no, CASE WHEN octet_length(encode(line)) <= 96 THEN '/^' || replace(replace(CASE WHEN suffix(line, '$') THEN left(line, length(line) - 1) ELSE line END, '\\', '\\\\'), '/', '\\/') || CASE WHEN suffix(line, '$') THEN '\\$' ELSE '' END || '$/' END AS pattern FROM ({_LINES_SQL}) WHERE octet_length(encode(line)) <= 96")
+def pattern_sql(line: str, limit: int) -> str:
+    """The search pattern of a line in SQL; a long line is cut behind the character that holds its last byte allowed."""
+    long = f"octet_length(encode({line})) > {limit}"
+    kept = f"CASE WHEN {long} THEN left({line}, list_filter(range(1, {limit} + 1), lambda k: octet_length(encode(left({line}, CAST(k AS INTEGER)))) >= {limit})[1]) ELSE {line} END"
+    body = f"replace(replace({kept}, '\\', '\\\\'), '/', '\\/')"
+    return f"'/^' || regexp_replace({body}, '\\$$', '\\\\$') || CASE WHEN {long} THEN '' ELSE '$' END || '/'"
+
+
+@query(f"SELECT doc_id, line_no, {pattern_sql('line', 96)} AS pattern FROM ({_LINES_SQL})")
 def pattern_column(s, d):
-    """The search pattern of every line that is not cut, as far as SQL can tell; ``pattern_column_all`` has all lines."""
-    return lines_of(t(s, d, "documents"), "text", "doc_id").where(F.octet_length("line") <= 96).select("doc_id", "line_no", writers.pattern_of(F.col("line")).alias("pattern"))
+    """The search pattern of every line, long ones cut at a character border."""
+    return lines_of(t(s, d, "documents"), "text", "doc_id").select("doc_id", "line_no", writers.pattern_of(F.col("line")).alias("pattern"))
 
 
 @query(f"SELECT DISTINCT line FROM ({_LINES_SQL})")
@@ -227,36 +249,19 @@ def sort_dedupe_lines(s, d):
     return writers.sort_lines(lines_of(t(s, d, "documents"), "text", "doc_id"), "line")
 
 
-@query(f"SELECT line, row_number() OVER (ORDER BY upper(line), line) AS rank FROM (SELECT DISTINCT line FROM ({_LINES_SQL}) WHERE regexp_matches(line, '^[ -~]*$'))")
-def sort_foldcase(s, d):
-    from symloom.functions.dsl import ascii_upper
-
-    lines = lines_of(t(s, d, "documents"), "text", "doc_id").where(F.col("line").rlike("^[ -~]*$")).select("line").distinct()
-    return ranked(lines, [ascii_upper(F.col("line")), F.col("line")])
-
-
-@query(f"SELECT doc_id, line_no, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS compact FROM ({_LINES_SQL}) WHERE regexp_matches(line, '^[ -~\\t]*$')")
-def compact_line(s, d):
-    lines = lines_of(t(s, d, "documents"), "text", "doc_id").where(F.col("line").rlike(r"^[ -~\t]*$"))
-    return lines.select("doc_id", "line_no", writers.compact(F.col("line")).alias("compact"))
+_UPPER_SQL = "translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
 
 
-@query()
-def pattern_column_all(s, d):
-    """The search pattern of every line, long ones cut at a character border; without SQL, which cannot cut so."""
-    return lines_of(t(s, d, "documents"), "text", "doc_id").select("doc_id", "line_no", writers.pattern_of(F.col("line")).alias("pattern"))
-
-
-@query()
-def sort_foldcase_all(s, d):
-    """All distinct lines by their upper-case form; only ASCII letters fold, so SQL's ``upper`` differs."""
+@query(f"SELECT line, row_number() OVER (ORDER BY {_UPPER_SQL}, line) AS rank FROM (SELECT DISTINCT line FROM ({_LINES_SQL}))")
+def sort_foldcase(s, d):
+    """All distinct lines by their upper-case form; only ASCII letters fold."""
     from symloom.functions.dsl import ascii_upper
 
     return ranked(lines_of(t(s, d, "documents"), "text", "doc_id").select("line").distinct(), [ascii_upper(F.col("line")), F.col("line")])
 
 
-@query()
-def compact_line_all(s, d):
+@query(f"SELECT doc_id, line_no, trim(regexp_replace(line, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) AS compact FROM ({_LINES_SQL})")
+def compact_line(s, d):
     """All lines with runs of ASCII white space as one blank; other blanks stay."""
     return lines_of(t(s, d, "documents"), "text", "doc_id").select("doc_id", "line_no", writers.compact(F.col("line")).alias("compact"))
 
@@ -302,13 +307,11 @@ def regex_multiline_extract(s, d):
 
 
 def _lang(*ext: str) -> Column:
-    """The language of a source file by the ending of its path; null for endings other than ``ext``, if given."""
-    by = {".proto": "Protobuf", ".thrift": "Thrift", ".xsl": "XSLT", ".el": "EmacsLisp", ".pm": "Perl", ".c": "C", ".h": "C"}
-    lang = F.lit(None).cast("string")
-    for e, n in by.items():
-        if not ext or e in ext:
-            lang = F.when(F.col("path").endswith(e), F.lit(n)).otherwise(lang)
-    return lang
+    """The language of a source file by its name and contents; null for endings other than ``ext``, if given."""
+    found = sources.language_of(F.col("path"), F.col("contents"), REGISTRY)
+    if not ext:
+        return found
+    return F.when(reduce(Column.__or__, [F.col("path").endswith(e) for e in ext]), found)
 
 
 def extracted(s: SparkSession, d: str, *ext: str) -> DataFrame:
@@ -401,11 +404,26 @@ def detect_language(s, d):
     return sources.detect_by_name(good(s, d, path=F.col("path")), t(s, d, "langmap")).select("file_id", "detected")
 
 
-@query()
+def _selector_sql(pair: tuple[str, str]) -> str:
+    """Of two languages the one whose construct comes first, in SQL; null if neither does."""
+    at = [f"CASE WHEN regexp_matches(contents, '{p}') THEN length(regexp_extract(contents, '(?s)^(.*?)' || '{p}', 1)) END" for p in (r.replace("'", "''") for r in sources.SELECTORS[pair])]
+    return f"CASE WHEN {at[0]} IS NOT NULL AND ({at[1]} IS NULL OR {at[0]} <= {at[1]}) THEN '{pair[0]}' WHEN {at[1]} IS NOT NULL THEN '{pair[1]}' END"
+
+
+@query(f"SELECT file_id, {', '.join(f'{_selector_sql(p)} AS s{i}' for i, p in enumerate(sources.SELECTORS))} FROM {_GOOD}")
 def detect_by_content(s, d):
-    """Perl or Raku, by which one's constructs come first."""
-    a, b = sources.SELECTORS["Perl", "Raku"]
-    return good(s, d, ".pm", detected=sources.select_by_content(F.col("contents"), "Perl", "Raku", a, b))
+    """Every pair of languages that constructs tell apart, asked of every source file."""
+    made = {f"s{i}": sources.select_by_content(F.col("contents"), *p, *sources.SELECTORS[p]) for i, p in enumerate(sources.SELECTORS)}
+    return good(s, d, **made)
+
+
+_BY_EXTENSION = {".proto": "Protobuf", ".thrift": "Thrift", ".xsl": "XSLT", ".el": "EmacsLisp", ".c": "C", ".h": "C"}
+
+
+@query(f"SELECT file_id, CASE {' '.join(f"WHEN suffix(path, '{e}') THEN '{n}'" for e, n in _BY_EXTENSION.items())} WHEN suffix(path, '.pm') THEN coalesce({_selector_sql(('Perl', 'Raku'))}, 'Perl') END AS language FROM {_GOOD}")
+def detect_pipeline(s, d):
+    """The language of every source file by name patterns, extensions, constructs, interpreter and mode lines."""
+    return good(s, d, language=sources.language_of(F.col("path"), F.col("contents"), REGISTRY))
 
 
 @query(f"SELECT file_id, CASE WHEN starts_with(path, './') THEN path[3:] ELSE path END AS folded FROM {_GOOD}")
@@ -482,14 +500,14 @@ _CHANGELOG = r"""
 """
 
 
-@query(f"SELECT doc_id, line AS name FROM (SELECT doc_id, regexp_extract(line, '^Version ([0-9.]+)$', 1) AS line FROM ({_LINES_SQL}) WHERE doc_id IN (SELECT doc_id FROM documents WHERE source = 'changelog')) WHERE line <> ''")
+@query(f"SELECT doc_id, kind, name FROM (SELECT doc_id, 'version' AS kind, regexp_extract(line, '^Version ([0-9.]+)$', 1) AS name FROM ({_LINES_SQL}) WHERE doc_id IN (SELECT doc_id FROM documents WHERE lower(trim(source)) = 'changelog')) WHERE name <> ''")
 def option_language(s, d):
     """Versions of change logs, by a language that an option file defines."""
     from symloom.sources.options import Options
 
     registry = Options().read(_CHANGELOG).registry
-    docs = t(s, d, "documents").where("source = 'changelog'").select(F.col("doc_id").alias("file_id"), F.col("url").alias("path"), F.col("text").alias("contents"), F.lit("ChangeLog").alias("lang"))
-    return extract_entries(docs, registry).where("kind = 'version'").select(F.col("file_id").alias("doc_id"), "name")
+    docs = t(s, d, "documents").where("lower(trim(source)) = 'changelog'").select(F.col("doc_id").alias("file_id"), F.col("url").alias("path"), F.col("text").alias("contents"), F.lit("ChangeLog").alias("lang"))
+    return extract_entries(docs, registry).where("kind = 'version'").select(F.col("file_id").alias("doc_id"), "kind", "name")
 
 
 @query()
@@ -532,8 +550,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from symloom.plans import building  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from symloom.plans import building  # noqa: F401
+
     return dict(_SQL)

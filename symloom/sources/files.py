@@ -121,6 +121,40 @@ SELECTORS = {
 }
 
 
+def language_of(path: Column, contents: Column, registry, force: str | None = None) -> Column:
+    """The language of a file: by a pattern of its name, by its extension, else by the interpreter of a ``#!``
+    line or by an editor's mode line; null if nothing tells.
+
+    Where languages share an extension, the constructs of :data:`SELECTORS` decide, and the first by name where
+    they do not. ``force`` overrides all. The maps are settings: they become literals of the expression.
+    """
+    if force and force.lower() != "auto":
+        return F.lit(registry.get(force).name if registry.get(force) else None).cast("string")
+    base = base_name(path)
+    by_name = F.lit(None).cast("string")
+    for s in reversed(list(registry.specs.values())):
+        if s.patterns:
+            by_name = F.when(base.rlike("|".join(glob_to_regex(p) for p in s.patterns)), F.lit(s.name)).otherwise(by_name)
+    of: dict[str, list[str]] = {}
+    for s in registry.specs.values():
+        for e in s.extensions:
+            of.setdefault(e, []).append(s.name)
+    ext = F.when(base.contains("."), F.element_at(F.split(base, r"\."), -1))
+    table = F.create_map(*[x for e, names in of.items() for x in (F.lit(e), F.lit(names[0]))]) if of else None
+    by_ext = F.try_element_at(table, ext) if table is not None else F.lit(None).cast("string")
+    shared: dict[tuple[str, str], list[str]] = {}
+    for e, names in of.items():
+        for pair in SELECTORS:
+            if set(pair) <= set(names):
+                shared.setdefault(pair, []).append(e)
+    for pair, exts in shared.items():
+        by_ext = F.when(ext.isin(exts), F.coalesce(select_by_content(contents, *pair, *SELECTORS[pair]), by_ext)).otherwise(by_ext)
+    known = {a.lower(): s.name for s in registry.specs.values() for a in (s.name, *s.aliases)}
+    alias = F.create_map(*[x for a, n in known.items() for x in (F.lit(a), F.lit(n))]) if known else None
+    said = [F.try_element_at(alias, F.lower(c)) for c in (interpreter(contents), editor_mode(contents))] if alias is not None else []
+    return F.coalesce(by_name, by_ext, *said)
+
+
 def fold_path(path: Column) -> Column:
     """``.``, ``..`` and empty segments resolved; a path that climbs above its begin keeps the rest.
 

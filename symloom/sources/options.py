@@ -30,7 +30,7 @@ class Settings:
     excludes: list[str] = field(default_factory=list)
     sort: str = "yes"
     output_format: str = MODES[0]
-    excmd: str = "combine"
+    excmd: str = "mix"
     pattern_limit: int = 96
     maxdepth: int | None = None
     recurse: bool = False
@@ -349,6 +349,8 @@ class Options:
             st.excludes = [] if not value else [*st.excludes, value]
         elif name == "sort":
             st.sort = {"1": "yes", "0": "no"}.get(value, value)
+        elif name == "excmd" and value not in ("number", "pattern", "mix", "mixed", "combine"):
+            raise OptionError(f"unknown address mode: {value}")
         elif name in ("output-format", "excmd", "language-force", "tag-relative"):
             setattr(st, name.replace("-", "_"), value)
         elif name in ("maxdepth", "pattern-length-limit"):
