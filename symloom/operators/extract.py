@@ -298,6 +298,11 @@ class Host:
         self.lines(tuple(r for r in spec.line_rules if not r.postrun))
         self.multi(spec.multi_rules)
         self.machine(dict(spec.tables))
+        for pattern, guest, region in spec.areas:
+            for m in _compiled(pattern, re.M | re.I).finditer(self.text):
+                name = m.group(guest) if isinstance(guest, int) else guest
+                if name and m.group(region):
+                    self.promises.append((name, *m.span(region)))
         self.lines(tuple(r for r in spec.line_rules if r.postrun))
         for s in self.scopes:
             self._close(s, self.last)
@@ -319,8 +324,8 @@ def extract_text(spec: LanguageSpec, path: str, text: str, registry: Registry |
                 found = found + _shifted(extract_text(sub, path, text, None, extras), len(found), 0, "subparser")
         for lang, lo, hi in host.promises:
             guest = registry.get(lang)
-            # A region is smaller than its text, so guests within guests come to an end.
-            if guest is not None and hi - lo < len(text):
+            # A region is smaller than its text or of a language without regions, so guests come to an end.
+            if guest is not None and (hi - lo < len(text) or guest is not spec and not guest.areas):
                 more = extract_text(guest, path, text[lo:hi], registry, extras)
                 found = found + _shifted(more, len(found), host.line_of(lo) - 1, "guest")
     return found

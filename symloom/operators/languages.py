@@ -8,6 +8,7 @@ resolved. ``COVERED`` in the catalog lists what is here; other languages can be
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from symloom.operators.spec import Kind, LanguageSpec, Registry, Rule
 
@@ -225,7 +226,7 @@ nested(
     [R(r"^\s*package\s+([\w.]+)", "p"), R(r"^\s*(?:\w+\s+)*interface\s+(\w+)", "i", block="{"), R(r"^\s*(?:(?:public|private|internal|open|abstract|sealed|data|inner|enum|annotation|value)\s+)*class\s+(\w+)", "c", block="{"), R(r"^\s*(?:companion\s+)?(?:data\s+)?object\s+(\w+)", "o", block="{"), R(r"^\s*(?:(?:public|private|internal|protected|open|override|suspend|inline|operator|infix|tailrec|abstract|final)\s+)*fun\s+(?:<[^>]*>\s*)?(?:[\w<>?.]+\.)?(\w+)\s*(\([^{=]*?\))", "m", block="{", signature=r"\2"), R(r"^\s*typealias\s+(\w+)", "T"), R(r"^\s*(?:(?:public|private|internal|protected|override|const|lateinit)\s+)*val\s+(\w+)", "C"), R(r"^\s*(?:(?:public|private|internal|protected|override|lateinit)\s+)*var\s+(\w+)", "v")],
     "ico",
 )
-nested("Odin", "p:package f:proc c:const v:var s:struct e:enum u:union m:member n:enumerator t:type g:foreign i:importName", "odin", [R(r"^package\s+(\w+)", "p"), R(r"^(\w+)\s*::\s*(?:inline\s+)?proc\b[^(]*(\([^{]*?\))", "f", block="{", signature=r"\2"), R(r"^(\w+)\s*::\s*struct\b", "s", block="{"), R(r"^(\w+)\s*::\s*enum\b", "e", block="{"), R(r"^(\w+)\s*::\s*union\b", "u", block="{"), R(r"^(\w+)\s*::\s*distinct\b", "t"), R(r"^(\w+)\s*::\s*(?!(?:inline\s+)?proc\b|struct\b|enum\b|union\b|distinct\b)", "c"), R(r"^(\w+)\s*:(?:\s*\w+\s*)?=", "v"), R(r"^\t(\w+)\s*:\s*([^,\n]+),", "m", typeref=r"\2")], "seu")
+nested("Odin", "p:package f:proc c:const v:var s:struct e:enum u:union m:member n:enumerator t:type g:foreign i:importName", "odin", [R(r"^package\s+(\w+)", "p"), R(r"^(\w+)\s*::\s*(?:inline\s+)?proc\b[^(]*(\([^{]*?\))", "f", block="{", signature=r"\2"), R(r"^(\w+)\s*::\s*struct\b", "s", block="{"), R(r"^(\w+)\s*::\s*enum\b", "e", block="{"), R(r"^(\w+)\s*::\s*union\b", "u", block="{"), R(r"^(\w+)\s*::\s*distinct\b", "t"), R(r"^(\w+)\s*::\s*(?!\s|(?:inline\s+)?proc\b|struct\b|enum\b|union\b|distinct\b)", "c"), R(r"^(\w+)\s*:(?:\s*\w+\s*)?=", "v"), R(r"^\t(\w+)\s*:\s*([^,\n]+),", "m", typeref=r"\2")], "seu")
 nested("V", "f:fn p:module v:variable c:const s:struct m:field n:method e:enumerator g:enum a:alias i:interface u:union", "v", [R(r"^module\s+(\w+)", "p"), R(r"^(?:pub\s+)?fn\s+(\w+)\s*(\([^{]*?\))", "f", block="{", signature=r"\2"), R(r"^(?:pub\s+)?fn\s+\([^)]*\)\s*(\w+)\s*(\([^{]*?\))", "n", block="{", signature=r"\2"), R(r"^(?:pub\s+)?struct\s+(\w+)", "s", block="{"), R(r"^(?:pub\s+)?enum\s+(\w+)", "g", block="{"), R(r"^(?:pub\s+)?interface\s+(\w+)", "i", block="{"), R(r"^(?:pub\s+)?union\s+(\w+)", "u", block="{"), R(r"^(?:pub\s+)?type\s+(\w+)\s*=", "a"), R(r"^(?:pub\s+)?const\s+(\w+)\s*=", "c"), R(r"^\t(\w+)\s+([\w\[\]&?.]+)\s*(?:=.*)?$", "m", typeref=r"\2")], "sgiu")
 nested("TypeSpec", "n:namespace g:enum o:operation i:interface m:model u:union a:alias p:property e:enumerator", "tsp", [R(r"^\s*namespace\s+([\w.]+)", "n", block="{"), R(r"^\s*enum\s+(\w+)", "g", block="{"), R(r"^\s*interface\s+(\w+)", "i", block="{"), R(r"^\s*model\s+(\w+)", "m", block="{"), R(r"^\s*union\s+(\w+)", "u", block="{"), R(r"^\s*alias\s+(\w+)\s*=", "a"), R(r"^\s*(?:op\s+)(\w+)\s*\(", "o"), R(r"^[ \t]+(\w+)\??\s*:\s*([^;,\n]+)[;,]", "p", typeref=r"\2")], "ngimu")
 nested("Haxe", "m:method c:class e:enum v:variable i:interface t:typedef", "hx", [R(r"^\s*(?:\w+\s+)*class\s+(\w+)", "c", block="{"), R(r"^\s*(?:\w+\s+)*interface\s+(\w+)", "i", block="{"), R(r"^\s*enum\s+(?:abstract\s+)?(\w+)", "e", block="{"), R(r"^\s*typedef\s+(\w+)", "t"), R(r"^\s*(?:\w+\s+)*function\s+(\w+)\s*(\([^{;]*?\))", "m", block="{", signature=r"\2"), R(r"^\s*(?:\w+\s+)*(?:var|final)\s+(\w+)", "v")], "cie")
@@ -324,7 +325,31 @@ nested("TclOO", "c:class m:method", "", [R(r"^\s*oo::class\s+create\s+([\w:]+)",
 nested("ITcl", "c:class m:method v:variable C:common p:procedure", "itcl", [R(r"^\s*(?:itcl::)?class\s+([\w:]+)", "c", block="{"), R(r"^\s*(?:(?:public|protected|private)\s+)?method\s+(\w+)", "m"), R(r"^\s*(?:(?:public|protected|private)\s+)?proc\s+(\w+)", "p"), R(r"^\s*(?:(?:public|protected|private)\s+)?variable\s+(\w+)", "v"), R(r"^\s*(?:(?:public|protected|private)\s+)?common\s+(\w+)", "C")], "c", r"(?m:^\s*#[^\n]*)", sep="::")
 nested("PowerShell", "f:function v:variable c:class i:filter g:enum e:enumlabel", "ps1 psm1", [R(r"^\s*function\s+(?:\w+:)?([\w-]+)", "f", icase=True, block="{"), R(r"^\s*filter\s+([\w-]+)", "i", icase=True, block="{"), R(r"^\s*class\s+(\w+)", "c", icase=True, block="{"), R(r"^\s*enum\s+(\w+)", "g", icase=True, block="{"), R(r"^\s*(?:\[[^\]]+\]\s*)?\$(?:\w+:)?(\w+)\s*=(?!=)", "v")], "cfg", r"<#.*?#>|" + HASH)
 lang("R", "f:function l:library/attached s:source g:globalVar v:functionVar z:parameter- c:vector L:list d:dataframe n:nameattr", "r R s q", [R(r"^\s*([\w.]+)\s*(?:<-|=)\s*function\s*(\([^)]*\))?", "f", exclusive=True, block="{", signature=r"\2"), R(r"^([\w.]+)\s*(?:<-|=)\s*list\s*\(", "L", exclusive=True), R(r"^([\w.]+)\s*(?:<-|=)\s*c\s*\(", "c", exclusive=True), R(r"^([\w.]+)\s*(?:<-|=)\s*data\.frame\s*\(", "d", exclusive=True), R(r"^([\w.]+)\s*(?:<-|=)(?!=)", "g", exclusive=True), R(r"^\s*(?:library|require)\s*\(\s*['\"]?([\w.]+)", "l", role="attached"), R(r"^\s*source\s*\(\s*['\"]([^'\"]+)", "s", role="source")], hide=HASH)
-lang("R6Class", "c:class m:method f:field a:activeBindingFunc", "", [R(r"([\w.]+)\s*<-\s*R6(?:::R6)?Class\s*\(", "c")])
+
+
+def _r6(host) -> None:
+    """Classes, and in their lists methods, fields and active bindings."""
+    s = host.seen
+    for c in re.finditer(r"([\w.]+)\s*(?:<-|=)\s*R6(?:::R6)?Class\s*\(", s):
+        host.add(R("", "c"), (c.group(), c.group(1)), c.start(1))
+        owner, depth, part, at = len(host.entries), 1, "", 0
+        for m in re.finditer(r"[()]|\b(public|private|active)\s*=\s*list\s*\(|([\w.]+)\s*=(?!=)\s*(function\b)?", s[c.end() :]):
+            if m.group(1):
+                depth += 1
+                part, at = m.group(1), depth
+            elif m.group(2):
+                if part and depth == at:
+                    host.add(R("", "a" if part == "active" else "m" if m.group(3) else "f"), (m.group(), m.group(2)), c.end() + m.start(2))
+                    host.entries[-1]["scope_id"] = owner
+            else:
+                depth += 1 if m.group() == "(" else -1
+                if depth < at:
+                    part = ""
+                if not depth:
+                    break
+
+
+lang("R6Class", "c:class m:method f:field a:activeBindingFunc", "", function=_r6, hide=r"(?m:#[^\n]*)")
 lang("S4Class", "c:class r:repr g:generic m:method", "", [R(r"setClass\s*\(\s*['\"]([\w.]+)", "c"), R(r"setGeneric\s*\(\s*['\"]([\w.]+)", "g"), R(r"setMethod\s*\(\s*['\"]([\w.]+)", "m")])
 _VIM = [R(r"^\s*:?\s*(?:export\s+)?(?:fu(?:nction)?!?|def)\s+([\w:.#]+)\s*(\([^)]*\))", "f", signature=r"\2"), R(r"^\s*com(?:mand)?!?\s+(?:-\S+\s+)*(\w+)", "c"), R(r"^\s*aug(?:roup)?!?\s+(?!END\b)(\S+)", "a"), R(r"^\s*(?:let|var)\s+([\w:#]+)\s*=", "v"), R(r"^\s*const\s+([\w:#]+)\s*=", "C"), R(r"^\s*[nvxsoilc]?(?:nore)?map!?\s+(?:<\w+>\s*)*(\S+)", "m")]
 lang("Vim", "a:augroup c:command f:function m:map v:variable n:filename C:constant h:heredoc- k:class", "vim vba", _VIM, patterns="vimrc [._]vimrc gvimrc [._]gvimrc", hide=r'(?m:^\s*"[^\n]*)')
@@ -592,11 +617,26 @@ lang("SELinuxTypeEnforcement", "m:module t:type a:alias T:attr r:role R:rattr b:
 lang("GPerf", "k:keyword h:hfunc l:lfunc c:class s:strpool", "perf gperf", [R(r"^%define\s+hash-function-name\s+(\w+)", "h"), R(r"^%define\s+lookup-function-name\s+(\w+)", "l"), R(r"^%define\s+class-name\s+(\w+)", "c"), R(r"^%define\s+string-pool-name\s+(\w+)", "s")], multi=[])
 lang("YACC", "t:token l:label", "y", [R(r"^\s*%token\s+(?:<[^>]+>\s*)?(\w+)", "t"), R(r"^([A-Za-z_][\w.]*)\s*:", "l")], hide=C_COMMENT, multi=[Rule(r"^%\{(.*?)^%\}".replace(".*?", r"[\s\S]*?"), guest=("C", (1, "start"), (1, "end")))])
 lang("LEX", "r:regex c:cond", "lex", [R(r"^%[xs]\s+(\w+)", "c"), R(r"^([A-Z_][\w]*)\s+\S", "r")], multi=[Rule(r"^%\{([\s\S]*?)^%\}", guest=("C", (1, "start"), (1, "end")))])
-lang("QemuHX", "q:qmp i:infoitem c:commands", "", [R(r"^\s*\.name\s*=\s*\"([^\"]+)\"", "c")])
+lang("QemuHX", "q:qmp i:infoitem c:commands", "", [R(r"^\s*\.name\s*=\s*\"([^\"]+)\"", "c"), R(r"^(?:@item\s+|\s*``)info\s+([\w-]+)", "i")], multi=[R(r"^SQMP\n([\w-]+)\n-+$", "q")])
 lang("IPythonCell", "c:cell", "", [R(r"^#\s*%%\s*(\S.*)$", "c"), R(r"^##\s+(\S.*)$", "c")], base="Python")
 lang("RMarkdown", "l:chunklabel", "rmd", [R(r"^```\{\w+[ ,]+([\w-]+)", "l")], base="")
 lang("Quarto", "l:chunklabel", "qmd", [R(r"^```\{\w+[ ,]+([\w-]+)", "l"), R(r"^#\|\s*label:\s*(\S+)", "l")])
-lang("QtMoc", "s:slot S:signal p:property", "", [R(r"\bQ_PROPERTY\s*\(\s*[\w:*&<> ]+?\s+(\w+)", "p")])
+
+
+def _moc(host) -> None:
+    """Properties, and the functions declared in the sections for slots and signals."""
+    host.multi((R(r"\bQ_PROPERTY\s*\(\s*[\w:*&<> ]+?\s+(\w+)", "p"),))
+    section = ""
+    for m in re.finditer(r"(?m)^\s*(?:(?:public|protected|private)\s+)?(slots|Q_SLOTS|signals|Q_SIGNALS|public|protected|private)\s*:|^\s*(?:[\w:<>,*&]+\s+)+[*&]?(\w+)\s*\([^;{]*\)[^;{]*[;{]|^\s*\}", host.seen):
+        if m.group(1):
+            section = {"slots": "s", "Q_SLOTS": "s", "signals": "S", "Q_SIGNALS": "S"}.get(m.group(1), "")
+        elif not m.group(2):
+            section = ""
+        elif section:
+            host.add(R("", section), (m.group(), m.group(2)), m.start(2))
+
+
+lang("QtMoc", "s:slot S:signal p:property", "", function=_moc, hide=C_COMMENT)
 lang("JNI", "m:method", "", [R(r'\{\s*"(\w+)"\s*,\s*"\([^"]*\)[^"]*"\s*,', "m")])
 lang("DTD", "E:entity p:parameterEntity X:externalEntity U:unparsedEntity e:element a:attribute n:notation", "dtd mod", multi=[R(r"<!ELEMENT\s+([\w:.-]+)", "e"), R(r"<!ENTITY\s+%\s+([\w:.-]+)", "p"), R(r"<!ENTITY\s+(?!%)([\w:.-]+)\s+(?:SYSTEM|PUBLIC)", "X"), R(r"<!ENTITY\s+(?!%)([\w:.-]+)\s+[\"']", "E"), R(r"<!ATTLIST\s+[\w:.%;-]+\s+([\w:.-]+)", "a"), R(r"<!NOTATION\s+([\w:.-]+)", "n")], hide=XML_HIDE)
 
@@ -618,7 +658,22 @@ def xml(name: str, kind_text: str, ext: str, table: str, **more) -> None:
 xml("Ant", "p:project t:target P:property i:antfile", "ant", "project@name=p target@name=t property@name=P import@file=i/imported", patterns="build.xml")
 xml("DBusIntrospect", "a:arg i:interface m:method s:signal p:property n:node", "", "interface@name=i method@name=m signal@name=s property@name=p arg@name=a node@name=n")
 xml("Glade", "c:class h:handler", "glade", "object@id=c signal@handler=h/handler")
-xml("Maven2", "g:groupId a:artifactId p:property r:repositoryId", "pom", "groupId@#=g artifactId@#=a", patterns="pom.xml")
+
+
+def _maven(host) -> None:
+    """Coordinates, the names of properties and the ids of repositories."""
+    host.multi(_MAVEN)
+    for block in re.finditer(r"<properties>(.*?)</properties>", host.seen, re.S):
+        for m in re.finditer(r"<([\w.-]+)>[^<]*</\1>", block.group(1)):
+            host.add(R("", "p"), (m.group(), m.group(1)), block.start(1) + m.start())
+
+
+_MAVEN = (
+    R(r"<groupId>\s*([^<]*?)\s*</groupId>", "g"),
+    R(r"<artifactId>\s*([^<]*?)\s*</artifactId>", "a"),
+    R(r"<(?:pluginR|r)epository>(?:(?!</(?:pluginR|r)epository>)[\s\S])*?<id>\s*([^<]*?)\s*</id>", "r"),
+)
+lang("Maven2", "g:groupId a:artifactId p:property r:repositoryId", "pom", function=_maven, hide=XML_HIDE, patterns="pom.xml")
 xml("PlistXML", "k:key", "plist", "key@#=k")
 xml("RelaxNG", "e:element a:attribute n:namedPattern", "rng", "element@name=e attribute@name=a define@name=n")
 xml("SVG", "d:def", "svg", "*@id=d")
@@ -676,4 +731,28 @@ def _html(host) -> None:
 
 
 lang("HTML", "a:anchor c:class/attribute t:title h:heading1 i:heading2 j:heading3 k:heading4 l:heading5 m:heading6 C:stylesheet/extFile I:id J:script/extFile", "htm html", function=_html)
+
+
+def areas(name: str, *found: tuple[str, str | int, int]) -> None:
+    REGISTRY.add(replace(REGISTRY.specs[name], areas=found))
+
+
+# Where other languages stand: blocks that name theirs, and regions that are always of one.
+areas("Markdown", (r"^[ ]{0,3}(?:```|~~~)[ \t]*\{?([\w+#-]+)[^\n]*\n([\s\S]*?)^[ ]{0,3}(?:```|~~~)", 1, 2), (r"\A---\n(?:[\s\S]*?\n)?---\n", "FrontMatter", 0))
+areas("RMarkdown", (r"^```\{(\w+)[^\n]*\n([\s\S]*?)^```", 1, 2))
+areas("Quarto", (r"^```\{(\w+)[^\n]*\n([\s\S]*?)^```", 1, 2))
+areas("ReStructuredText", (r"^\.\.[ ]+(?:code-block|code|sourcecode)::[ \t]*([\w+#-]+)\n(?:[ \t]+:[^\n]*\n)*\n?((?:[ \t]+[^\n]*\n|\n)+)", 1, 2))
+areas("Org", (r"^[ \t]*#\+BEGIN_SRC[ \t]+([\w+#-]+)[^\n]*\n([\s\S]*?)^[ \t]*#\+END_SRC", 1, 2))
+areas("Asciidoc", (r"^\[source,[ ]*([\w+#-]+)[^\n]*\]\n----\n([\s\S]*?)^----", 1, 2))
+areas("PHP", (r"(?:\A|\?>)((?:(?!<\?(?:php|=))[\s\S])+)(?=<\?(?:php|=)|\Z)", "HTML", 1))
+areas("SQL", (r"\bDO[ \t]+(\$\w*\$)([\s\S]*?)\1[ \t]*LANGUAGE[ \t]+pl(?=python)", "Python", 2), (r"(\$\w*\$)([\s\S]*?)\1[ \t\n]*LANGUAGE[ \t]+plperlu?\b", "Perl", 2), (r"(\$\w*\$)([\s\S]*?)\1[ \t\n]*LANGUAGE[ \t]+pltclu?\b", "Tcl", 2))
+areas("Sh", (r"\b(python3?|perl|ruby|awk|tclsh)\b[^\n<]*<<-?[ ]*['\"]?(\w+)['\"]?[^\n]*\n([\s\S]*?)^\t*\2$", 1, 3))
+areas("Perl", (r"^=(?!cut\b)[a-z]\w*[\s\S]*?(?:^=cut\b|\Z)", "Pod", 0))
+areas("Raku", (r"^=(?!cut\b)(?:pod|head|begin)\w*[\s\S]*?(?:^=(?:cut|end)\b|\Z)", "Pod", 0))
+areas("Ruby", (r"^=begin[^\n]*\n([\s\S]*?)^=end", "RDoc", 1))
+areas("Fypp", (r"\A[\s\S]+\Z", "Fortran", 0))
+areas("GPerf", (r"^%\{\n?([\s\S]*?)^%\}", "C", 1))
+areas("XML", (r"<style\b[^>]*>([\s\S]*?)</style>", "CSS", 1), (r"<script\b[^>]*>([\s\S]*?)</script>", "JavaScript", 1))
+areas("SVG", (r"<style\b[^>]*>([\s\S]*?)</style>", "CSS", 1))
+REGISTRY.add(replace(REGISTRY.specs["XML"], multi_rules=(*REGISTRY.specs["XML"].multi_rules, R(r"\sxmlns:([\w.-]+)\s*=", "n"))))
 COVERED = tuple(sorted(REGISTRY.specs))

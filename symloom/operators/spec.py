@@ -92,6 +92,8 @@ class LanguageSpec:
     line_rules: tuple[Rule, ...] = ()
     multi_rules: tuple[Rule, ...] = ()
     tables: tuple[tuple[str, tuple[Rule, ...]], ...] = ()
+    #: Regions of other languages: pattern over the raw text, the guest's name or the group that names it, the group of the region.
+    areas: tuple[tuple[str, str | int, int], ...] = ()
     #: Parts of the source that no line or multi-line rule sees: comments and strings, blanked before.
     hide: str = ""
     separators: tuple[tuple[str, str, str], ...] = ()  # parent kind, child kind, separator
