@@ -46,13 +46,17 @@ def _script(text: str):
 
 def fill(template: str, groups: tuple) -> str:
     """``\\0``..``\\9`` replaced by groups; blanks at the ends fall away."""
+    if len(template) == 2 and template[0] == "\\" and template[1].isdigit():
+        n = int(template[1])
+        return (groups[n] or "").strip() if n < len(groups) else ""
     if "\\" not in template:
         return template.strip()
     return re.sub(r"\\(\d)", lambda m: (groups[int(m.group(1))] or "") if int(m.group(1)) < len(groups) else "", template).strip()
 
 
 def _blank(m: re.Match) -> str:
-    return re.sub(r"[^\n]", " ", m.group())
+    s = m.group()
+    return "\n".join(" " * len(x) for x in s.split("\n")) if "\n" in s else " " * len(s)
 
 
 class Host:

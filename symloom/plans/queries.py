@@ -15,7 +15,7 @@ from symloom.operators.catalog import Catalog
 from symloom.operators.extract import extract_entries, line_entries, lines_of, multi_name_list
 from symloom.operators.languages import REGISTRY
 from symloom.operators.rank import latest, ranked
-from symloom.operators.spec import Rule
+from symloom.operators.spec import Registry, Rule
 from symloom.sources import files as sources
 from symloom.sources.parallel import spread
 from symloom.sources.tags import name_matches, parse_rows
@@ -306,9 +306,13 @@ def regex_multiline_extract(s, d):
     return names.select("file_id", F.explode("names").alias("name"), F.lit("n").alias("kind"))
 
 
+#: The languages of the source files; others are not asked for, which keeps the expression small.
+_SOURCES = Registry({n: REGISTRY.specs[n] for n in ("Protobuf", "Thrift", "XSLT", "EmacsLisp", "Perl", "Raku", "C")})
+
+
 def _lang(*ext: str) -> Column:
     """The language of a source file by its name and contents; null for endings other than ``ext``, if given."""
-    found = sources.language_of(F.col("path"), F.col("contents"), REGISTRY)
+    found = sources.language_of(F.col("path"), F.col("contents"), _SOURCES)
     if not ext:
         return found
     return F.when(reduce(Column.__or__, [F.col("path").endswith(e) for e in ext]), found)
@@ -454,7 +458,6 @@ def file_entries(s, d):
 def writable_entries(s, d):
     """Languages, kinds and extras switched as by options, in one predicate."""
     from symloom.operators import filters
-    from symloom.operators.spec import Registry
     from symloom.sources.options import Options
 
     registry = Registry({n: REGISTRY.get(n) for n in ("C", "Perl")})

@@ -132,9 +132,11 @@ def language_of(path: Column, contents: Column, registry, force: str | None = No
         return F.lit(registry.get(force).name if registry.get(force) else None).cast("string")
     base = base_name(path)
     by_name = F.lit(None).cast("string")
-    for s in reversed(list(registry.specs.values())):
-        if s.patterns:
-            by_name = F.when(base.rlike("|".join(glob_to_regex(p) for p in s.patterns)), F.lit(s.name)).otherwise(by_name)
+    named = [(s.name, "|".join(glob_to_regex(p) for p in s.patterns)) for s in registry.specs.values() if s.patterns]
+    for name, p in reversed(named):
+        by_name = F.when(base.rlike(p), F.lit(name)).otherwise(by_name)
+    if named:  # hardly a name fits one of them: all are asked at once first
+        by_name = F.when(base.rlike("|".join(p for _, p in named)), by_name)
     of: dict[str, list[str]] = {}
     for s in registry.specs.values():
         for e in s.extensions:
