@@ -28,7 +28,7 @@ from symloom.llm import common
 from symloom.llm.tokens import RANKS, count_tokens, encoding
 from symloom.storage import materialize
 
-SAMPLE_DOCS, TERMS = 400, 1500
+SAMPLE_DOCS, TERMS = 400, 800
 #: One text of the sample in so many is held out for calibration.
 HELD_OUT = 4
 #: Posteriors are kept in steps of one part in so many.
@@ -93,7 +93,7 @@ class Classifier:
             self.accuracy, self.confidence = float((p.argmax(1) == true).mean()), float(p.max(1).mean())
         self.weights = self._fit(x, y)
 
-    def _fit(self, x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.05, ridge: float = 1e-3) -> np.ndarray:
+    def _fit(self, x: np.ndarray, y: np.ndarray, steps: int = 120, rate: float = 0.1, ridge: float = 1e-3) -> np.ndarray:
         """Gradient descent with moments; labels weigh by their rows, so they are the prior."""
         w = np.zeros((x.shape[1], len(self.labels)), np.float32)
         want = np.eye(len(self.labels), dtype=np.float32)[y]
