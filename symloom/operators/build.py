@@ -1,6 +1,8 @@
 """Building an index with options: inputs and switches to entries, index rows, header rows and totals.
 
-Every setting that :mod:`symloom.sources.options` reads is used here; options that nothing knows are refused.
+The settings that :mod:`symloom.sources.options` reads are used here, but for those of the scan (encodings and
+recursion belong to :func:`symloom.sources.files.scan`) and extras of single languages; ``totals`` is a method.
+Options that nothing knows are refused.
 Defined results: files with null contents or of no known language are counted as inputs and give no entries;
 equal rows become one when the index is sorted; an empty table gives an index of header rows alone.
 """
